@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larkspur.llm import bpe
+from larkspur.llm import bpe, language_id, mixing, quality_rules, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -26,3 +27,34 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op2_byte_bpe(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text")
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+@query
+def op10_token_counts(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    return token_counts.token_counts(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).select("doc_id", "n_pretokens", "n_tokens")
+
+
+@query
+def op7_mixing(spark, sf):
+    return mixing.mix(read(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op6_quality_rules(spark, sf):
+    return quality_rules.quality_rules(read(spark, sf, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def fold(folds: int):
+    """The fold of a row by its id; null has none."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
+
+
+@query
+def op8_language_id(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text", "lang")
+    model = language_id.fit(docs.filter(fold(5) != 0))
+    held = docs.select("doc_id", "text", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"))
+    return language_id.predict(held, model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
