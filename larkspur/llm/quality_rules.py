@@ -1,12 +1,12 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
-Each language's reference is two histograms over all its documents that pass the base rules: shares of character classes, and shares of
+Each language's reference is two histograms over all its documents of 50 words or more: shares of character classes, and shares of
 the language's most frequent words (and of all other words). A document is compared with every language's reference by
 Jensen-Shannon distance (base 2, so 0 to 1) and fails where even the nearest is beyond a threshold; texts below a guard's length
 aren't compared, as short texts stray from any reference by chance.
 
-One pass over the documents counts words by language (partial sums before the shuffle) and one sums the character classes; what comes to
-the driver is `common` words and one histogram per language. The verdict itself is a projection: no shuffle, no join.
+One pass over the documents counts words and character classes by language (partial sums before the shuffle); what comes to the driver is
+`common` words and one histogram per language. The verdict itself is a projection: no shuffle, no join.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.store import cut
+
 SEPARATORS = r"[\x20\x09-\x0D]+"
-SEPARATOR_CHARACTERS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-#: Character classes, besides those that the last class gathers: name to pattern.
-CLASSES = {"upper": r"\p{Lu}+", "letter": r"\p{L}+", "digit": r"\p{Nd}+", "space": r"\s+", "stop": r"[.,;:!?]+"}
+#: The character classes of the histograms.
+CLASSES = ("capital", "other letter", "digit", "space", "stop", "other")
 
 COMMON, MIN_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 40, 100, 0.23, 0.36
 
@@ -36,38 +37,34 @@ def split_words(text: Column) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """Words inside three-word windows that the text has twice or more. Equal windows come together by sorting their hashes with their positions."""
-
-    def windows(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(w[i], w[i + 1], w[i + 2]).alias("h"), F.hash(w[i], w[i + 1], w[i + 2]).alias("g"), i.alias("p")))
+    """Words inside three-word windows that the text has twice or more. Only where some window repeats are they sorted, by hash and position, to bring equal ones together."""
 
-    def positions(found: Column) -> Column:
-        def again(s: Column) -> Column:
-            same = lambda a, b: (a["h"] == b["h"]) & (a["g"] == b["g"])
-            hit = F.filter(s, lambda x, i: F.when(i > 0, same(s[i - 1], x)).otherwise(False) | F.when(i < F.size(s) - 1, same(s[F.least(i + 1, F.size(s) - 1)], x)).otherwise(False))
-            return F.array_sort(F.transform(hit, lambda x: x["p"]))
+    def windows(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2]))
 
-        return let(F.array_sort(found), again)
+    def again(s: Column) -> Column:
+        same = lambda i, x: F.coalesce(F.get(s, i)["h"] == x["h"], F.lit(False))
+        return F.array_sort(F.transform(F.filter(s, lambda x, i: same(i - 1, x) | same(i + 1, x)), lambda x: x["p"]))
 
     def covered(p: Column) -> Column:
-        steps = F.transform(p, lambda x, k: F.when(k < F.size(p) - 1, F.least(F.lit(3), p[F.least(k + 1, F.size(p) - 1)] - x)).otherwise(3))
+        steps = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
-    def counted(w: Column) -> Column:
-        distinct = lambda v: F.size(F.array_distinct(F.transform(v, lambda x: x["h"]))) == F.size(v)
-        return F.when(F.size(w) < 4, 0).otherwise(let(windows(w), lambda v: F.when(distinct(v), 0).otherwise(let(positions(v), covered))))
+    def counted(v: Column) -> Column:
+        placed = F.array_sort(F.transform(v, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        return F.when(F.size(F.array_distinct(v)) == F.size(v), 0).otherwise(let(let(placed, again), covered))
 
-    return let(words, counted).cast("bigint")
+    return F.when(F.size(words) < 4, 0).otherwise(let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), counted)).cast("bigint")
 
 
 def base(text: Column, words: Column) -> dict[str, Column]:
     """The base counts; words are those of the text."""
     filled = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(filled, "\n"), lambda x: F.translate(x, SEPARATOR_CHARACTERS, "") != "")
+    lines = F.filter(F.split(filled, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
         "n_words": F.size(words).cast("bigint"),
-        "word_chars": F.length(F.translate(filled, SEPARATOR_CHARACTERS, "")).cast("bigint"),
-        "n_symbols": (F.length(filled) - F.length(F.translate(filled, SYMBOLS, ""))).cast("bigint"),
+        "word_chars": F.length(F.array_join(words, "")).cast("bigint"),
+        "n_symbols": (F.length(filled) - F.length(F.regexp_replace(filled, f"[{SYMBOLS}]+", ""))).cast("bigint"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
         "n_repeat_words": repeated_words(words),
     }
@@ -78,20 +75,27 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
 
 
 def class_counts(text: Column) -> Column:
-    """Characters of each class, as an array of doubles: the classes in order, letters without capitals, then all others."""
+    """Characters of each class, in order, as an array of doubles. The classes without letters are counted in what is left of the text without them."""
     filled = F.coalesce(text, F.lit(""))
-    n = {k: F.length(filled) - F.length(F.regexp_replace(filled, v, "")) for k, v in CLASSES.items()}
+    without = lambda x, pattern: F.length(F.regexp_replace(x, pattern, ""))
 
-    def shares(c: Column) -> Column:
-        upper, letter, digit, space, stop = (c[i] for i in range(5))
-        return F.array(*(x.cast("double") for x in (upper, letter - upper, digit, space, stop, c[5] - letter - digit - space - stop)))
+    def counts(rest: Column) -> Column:
+        n = F.array(F.length(filled), F.length(rest), without(filled, r"\p{Lu}+"), without(rest, r"\p{Nd}+"), without(rest, r"\s+"), without(rest, "[.,;:!?]+"))
+
+        def classes(c: Column) -> Column:
+            full, left = c[0], c[1]
+            return F.array(*(x.cast("double") for x in (full - c[2], c[2] - left, left - c[3], left - c[4], left - c[5], c[3] + c[4] + c[5] - 2 * left)))
 
-    return let(F.array(*n.values(), F.length(filled)), shares)
+        return let(n, classes)
+
+    return let(F.regexp_replace(filled, r"\p{L}+", ""), counts)
 
 
 def normalised(counts: Column) -> Column:
-    total = F.aggregate(counts, F.lit(0.0), lambda a, b: a + b)
-    return let(total, lambda t: F.transform(counts, lambda x: F.when(t > 0, x / t).otherwise(0.0)))
+    def shares(c: Column) -> Column:
+        return let(F.aggregate(c, F.lit(0.0), lambda a, b: a + b), lambda t: F.transform(c, lambda x: F.when(t > 0, x / t).otherwise(0.0)))
+
+    return let(counts, shares)
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -104,25 +108,28 @@ def distance(p: Column, q: Column) -> Column:
 def references(docs: DataFrame, common: int) -> list[dict]:
     """For each language: its most frequent words (ties by code point), their shares and that of the others, and shares of character classes.
 
-    Rows of null language or that fail the base rules take no part.
+    All texts of a language of at least the base rules' 50 words count, in one pass: its words and its character classes are summed by the same
+    aggregate, partially before the shuffle. No task ranks a language's whole vocabulary.
     """
     use = docs.select("lang", "text").filter("lang is not null and text is not null")
-    words = split_words(F.col("text"))
-    good = use.withColumn("words", words).filter(~base_failed(F.size("words"), repeated_words(F.col("words"))))
-    counts = good.select("lang", F.explode(F.transform("words", F.lower)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
-    # The largest n of each language by partial aggregates: no task sorts a language's whole vocabulary.
-    salted = counts.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(64)))
+    split = use.select("lang", "text", F.explode(F.array(split_words(F.col("text")))).alias("w")).filter(F.size("w") >= 50)
+    # Words have no space; the classes go under names that do.
+    classes = F.transform(class_counts(F.col("text")), lambda x, i: F.struct(F.concat(F.lit(" "), i.cast("string")).alias("word"), x.cast("bigint").alias("n")))
+    each = F.transform("w", lambda w: F.struct(w.alias("word"), F.lit(1).cast("bigint").alias("n")))
+    counts = cut(split.select("lang", F.inline(F.concat(each, classes))).groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    words = counts.filter(~F.col("word").startswith(" "))
     ranked = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))
-    top = salted.withColumn("k", ranked(["lang", "salt"])).filter(F.col("k") <= common).withColumn("k", ranked(["lang"])).filter(F.col("k") <= common)
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    shares = top.join(totals, "lang").select("lang", "word", "n", "total", "k").collect()
-    classes = good.select("lang", class_counts(F.col("text")).alias("c")).groupBy("lang").agg(*(F.sum(F.col("c")[i]).alias(f"c{i}") for i in range(len(CLASSES) + 1))).collect()
+    top = words.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(64))).withColumn("k", ranked(["lang", "salt"])).filter(F.col("k") <= common)
+    top = top.withColumn("k", ranked(["lang"])).filter(F.col("k") <= common).select("lang", "word", "n").collect()
+    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    sums: dict[str, list[int]] = {}
+    for r in counts.filter(F.col("word").startswith(" ")).collect():
+        sums.setdefault(r["lang"], [0] * len(CLASSES))[int(r["word"])] = r["n"]
     out = []
-    for row in sorted(classes, key=lambda r: r["lang"]):
-        own = sorted((r for r in shares if r["lang"] == row["lang"]), key=lambda r: r["k"])
-        sums = [row[f"c{i}"] for i in range(len(CLASSES) + 1)]
-        p = [r["n"] / r["total"] for r in own]
-        out.append({"lang": row["lang"], "words": [r["word"] for r in own], "shares": [*p, max(0.0, 1 - sum(p))], "classes": [x / (sum(sums) or 1) for x in sums]})
+    for lang in sorted(totals):
+        own = sorted((-r["n"], r["word"].encode(), r["word"]) for r in top if r["lang"] == lang)
+        p = [-n / totals[lang] for n, _, _ in own]
+        out.append({"lang": lang, "words": [w for _, _, w in own], "shares": [*p, max(0.0, 1 - sum(p))], "classes": [x / (sum(sums[lang]) or 1) for x in sums[lang]]})
     return out
 
 
@@ -169,7 +176,7 @@ def nearest(text: Column, words: Column, refs: list[dict]) -> tuple[Column, Colu
         return F.least(*(to(r) for r in refs), F.lit(1.0))
 
     characters = literal([chr(base_code + i) for i in range(len(vocabulary))], "string")
-    codes = F.array_join(F.transform(word_numbers(F.transform(words, F.lower), vocabulary), lambda i: characters[i]), "")
+    codes = F.array_join(F.transform(word_numbers(words, vocabulary), lambda i: characters[i]), "")
     return by_class, let(F.struct(codes.alias("c"), F.size(words).cast("double").alias("n")), lambda x: by_words(x["c"], x["n"]))
 
 
