@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, language_id, mixing, quality_rules, token_counts
+from larkspur.llm import bpe, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -58,3 +58,32 @@ def op8_language_id(spark, sf):
     model = language_id.fit(docs.filter(fold(5) != 0))
     held = docs.select("doc_id", "text", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"))
     return language_id.predict(held, model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query
+def op1_quality_classifier(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text")
+    network = quality_classifier.train(docs.filter(fold(3) != 1), read(spark, sf, "labels").select("doc_id", "quality").filter(fold(3) != 1))
+    held = docs.select("doc_id", "text", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"))
+    return quality_classifier.score(held, network).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op3_line_dedup(spark, sf):
+    docs = line_dedup.line_dedup(read(spark, sf, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query
+def op4_embedding_dedup(spark, sf):
+    return embedding_dedup.embedding_dedup(read(spark, sf, "embeddings"))
+
+
+@query
+def op5_jaccard_join(spark, sf):
+    return jaccard_join.jaccard_join(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "class_id", "n_links", "component_id", "kept")
+
+
+@query
+def op9_suffix_dedup(spark, sf):
+    return suffix_dedup.suffix_dedup(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
