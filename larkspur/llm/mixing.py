@@ -28,6 +28,7 @@ BLOCK_WORDS, BUCKET_ROWS, CHUNK_SLOTS = 256, 4096, 16384
 GOLDEN = 0x9E3779B97F4A7C15
 #: Up to this many sources the table of sources is broadcast; past it, it is joined by shuffle.
 BROADCAST_SOURCES = 100_000
+SEED = 7
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
@@ -37,6 +38,11 @@ def word_count(text) -> F.Column:
     return F.coalesce(F.size(F.filter(F.split(text, SEPARATORS), lambda w: w != "")), F.lit(0)).cast("bigint")
 
 
+def digest(key, text, seed: int = SEED) -> F.Column:
+    """A row's place in the shuffled order of its source."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string"), text))
+
+
 def targets(sizes: list[int], weights: list[int], cap: int = 3) -> list[Fraction]:
     """Each source's target: all words shared by weight, none above cap times its size, the excess shared again by weight."""
     out, open_ = [Fraction(0)] * len(sizes), set(range(len(sizes)))
@@ -98,7 +104,7 @@ def schedule(spark, table: pd.DataFrame) -> DataFrame:
     return ranked.unionByName(late)
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", block: int = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, taken (words the mix takes, repeats counted).
 
     Sources by code point, null last, weigh 1, 2, 3, repeating. A null source is a source. Null and empty texts have size 0 and give 0
@@ -111,7 +117,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
             F.col(f"`{key}`").cast("bigint").alias("doc_id"),
             F.col(f"`{source}`").cast("string").alias("__name"),
             word_count(F.col(f"`{text}`")).alias("size"),
-            F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(f"`{key}`").cast("string"), F.col(f"`{text}`"))).alias("h"),
+            digest(F.col(f"`{key}`"), F.col(f"`{text}`"), seed).alias("h"),
         )
     )
     found = sized.groupBy("__name").agg(F.sum("size").alias("words"), F.count("*").alias("n")).collect()
