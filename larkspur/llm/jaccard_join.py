@@ -27,7 +27,7 @@ from larkspur.llm.graph import Forest, by_group, components, grouped, spread, ti
 from larkspur.llm.store import cut
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
-CHILDREN, DEPTH, SMALL, TILE = 1.5, 4, 256, 2048
+CHILDREN, DEPTH, SMALL, TILE = 1.5, 4, 2048, 2048
 BITS = np.uint64(48)
 SKETCH, SKETCH_FROM, SKETCH_LEAST = 64, 48, 0.45
 
