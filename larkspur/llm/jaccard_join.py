@@ -3,7 +3,7 @@
 A document's set is that of its word shingles. In each run every set picks, by a hash of the run and the token, its tokens under a
 bound of CHILDREN / (similarity * size): a pair at the similarity has CHILDREN picks in common on average. The sets that picked a token form a
 bucket. Buckets of up to SMALL sets are compared by brute force; sets of larger ones pick again, by a hash of the path so far, and so on to
-DEPTH. RUNS repeats make the chance to miss a pair at the similarity less than 1 - recall (`runs_for`).
+DEPTH. A bucket of sets that pick alike (those of one large group of near copies) stays whole, since it wouldn't come apart. RUNS repeats make the chance to miss a pair at the similarity less than 1 - recall (`runs_for`).
 
 Equal sets are one class from the start, with a weight. In a bucket, sketches drop pairs that are far from similar, and a pair counts only in
 the least bucket the two have in common, so that it is counted once although no pair is ever listed: a task gives each set's number of links
@@ -30,6 +30,8 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 CHILDREN, DEPTH, SMALL, TILE = 1.5, 4, 2048, 2048
 BITS = np.uint64(48)
 SKETCH, SKETCH_FROM, SKETCH_LEAST = 64, 48, 0.45
+#: A bucket stays whole if this share of its sets' picks leads to buckets of half its size or more.
+ALIKE = 0.6
 
 
 def runs_for(recall: float, depth: int, children: float = CHILDREN) -> int:
@@ -118,18 +120,20 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
 
 def split(nodes: DataFrame, sets: DataFrame, children: float, similarity: float) -> DataFrame:
-    """The next level of paths: rows (id, node) of the sets in the nodes."""
+    """The next level of paths: rows (id, parent, whole, node) of the sets in the nodes; whole is the parent's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, n, packed, paths in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("id", "n", "set", "nodes")), strict=True):
-                tokens = unpack(packed.as_py())
-                paths = np.array(paths.as_py(), np.int64).view(np.uint64)
-                at, more = picks(np.tile(tokens, len(paths)), np.full(len(tokens) * len(paths), n.as_py()), np.repeat(paths, len(tokens)), children, similarity)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i.as_py(), np.int64)), pa.array(more.view(np.int64))], names=["id", "node"])
+            for i, n, packed, nodes in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("id", "n", "set", "nodes")), strict=True):
+                tokens, nodes = unpack(packed.as_py()), nodes.as_py()
+                parents, whole = np.array([x["node"] for x in nodes], np.int64), np.array([x["size"] for x in nodes], np.int64)
+                path = np.repeat(parents.view(np.uint64), len(tokens))
+                at, more = picks(np.tile(tokens, len(nodes)), np.full(len(path), n.as_py()), path, children, similarity)
+                columns = [np.full(len(at), i.as_py(), np.int64), parents[at // max(1, len(tokens))], whole[at // max(1, len(tokens))], more.view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "parent", "whole", "node"])
 
-    lists = nodes.groupBy("id").agg(F.collect_list("node").alias("nodes"))
-    return lists.join(sets, "id").select("id", "n", "set", "nodes").mapInArrow(run, "id bigint, node bigint")
+    lists = nodes.groupBy("id").agg(F.collect_list(F.struct("node", "size")).alias("nodes"))
+    return lists.join(sets, "id").select("id", "n", "set", "nodes").mapInArrow(run, "id bigint, parent bigint, whole bigint, node bigint")
 
 
 def possible(size: np.ndarray, brief: np.ndarray, leaves: list[np.ndarray], leaf: int, tile: np.ndarray, cross: bool, similarity: float) -> np.ndarray:
@@ -221,7 +225,8 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY
     classes = cut(grouped_sets.select("fp", F.col("o.d").alias("doc_id"), F.col("o.t").alias("th"), "w", "n", "paths", "sketch").withColumn("id", F.monotonically_increasing_id()))
 
     def shared(nodes: DataFrame) -> DataFrame:
-        sizes = nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
+        # Written, so that the join has plain exchanges, whose large partitions can be split.
+        sizes = cut(nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
         return cut(nodes.join(sizes, "node").select("id", "node", "size"))
 
     level = shared(classes.select("id", F.explode("paths").alias("node")))
@@ -231,7 +236,13 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY
         large = level.filter(F.col("size") > small)
         if large.isEmpty():
             break
-        level = shared(split(large.select("id", "node"), sets, children, similarity))
+        found = cut(split(large, sets, children, similarity))
+        sizes = cut(found.groupBy("parent", "whole", "node").agg(F.count("*").alias("size")))
+        alike = sizes.groupBy("parent").agg((F.sum(F.when(2 * F.col("size") >= F.col("whole"), F.col("size")).otherwise(0)) / F.sum("size")).alias("share")).filter(F.col("share") >= ALIKE)
+        alike = cut(alike.select(F.col("parent").alias("node")))
+        leaves = leaves.unionByName(large.join(alike, "node", "left_semi").select("id", "node", "size"))
+        apart = cut(sizes.filter("size > 1").join(alike, F.col("parent") == alike["node"], "left_anti").select("node", "size"))
+        level = cut(found.select("id", "node").join(apart, "node").select("id", "node", "size"))
         leaves = leaves.unionByName(level if step == depth else level.filter(F.col("size") <= small))
     leaves = cut(leaves.select("id", F.col("node").alias("leaf"), "size"))
 
