@@ -182,7 +182,8 @@ def repeated_starts(docs: DataFrame, length: int, gram: int, hot: int) -> DataFr
     """Rows (cls, s, e): the strings that begin at s to e in the text cls also start elsewhere."""
     spark = docs.sparkSession
     texts = docs.select(identity(F.col("text")).alias("cls"), "text").filter(F.octet_length("text") >= length)
-    shared = grams(texts, length, gram, False).groupBy("g").agg(F.min("pid").alias("x"), F.max("pid").alias("y")).filter("x < y").select("g")
+    # Written, so that the join has plain exchanges, and a gram that very many texts share can be split.
+    shared = cut(grams(texts, length, gram, False).groupBy("g").agg(F.min("pid").alias("x"), F.max("pid").alias("y")).filter("x < y").select("g"))
     found = cut(grams(texts, length, gram, True).join(shared, "g").distinct())
     distinct = found.groupBy("s").agg(F.min("pid").alias("pid"), (F.max("pid") > F.min("pid")).alias("again"), F.min("g").alias("g"))
     # Groups with a span that isn't settled and another one to compare it with.
