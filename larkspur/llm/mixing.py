@@ -98,7 +98,7 @@ def schedule(spark, table: pd.DataFrame) -> DataFrame:
     before = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("s", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
     ranked = drawn.join(offsets, ["s", "chunk"]).select("s", (F.col("off") + F.col("own")).alias("r"))
-    due = spark.createDataFrame(table[["__s", "slots"]]).select(F.col("__s").alias("s"), "slots")
+    due = spark.createDataFrame(table[["__s", "slots"]], "s bigint, slots bigint")
     got = counts.groupBy("s").agg(F.sum("n").alias("got"))
     late = due.join(got, "s", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < slots").select("s", F.explode(F.sequence("got", F.col("slots") - 1)).alias("r"))
     return ranked.unionByName(late)

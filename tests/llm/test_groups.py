@@ -279,8 +279,8 @@ def test_mixing(docs, rows, block):
     taken = defaultdict(int)
     for r in got:
         assert 0 <= r.taken <= 3 * r.size
-        taken[r.target] += r.taken
-    assert all(taken[goal[s]] == int(goal[s]) for s in names)
+        taken[r.source_size, r.target] += r.taken
+    assert all(taken[sizes[s], goal[s]] == int(goal[s]) for s in names)
     again = mixing.mix(docs.repartition(7), block=block).collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
