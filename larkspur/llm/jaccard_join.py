@@ -106,7 +106,7 @@ def described(docs: DataFrame, k: int, runs: int, children: float, similarity: f
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Rows (id, n, set) of the documents (doc_id, th) in wanted."""
+    """Rows (id, n, set) of the documents (doc_id, th) in wanted; rows that repeat one come as often as they are there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, bounds in chunks(batches, "text"):
@@ -116,7 +116,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     keys = wanted.select(F.col("doc_id").alias("wd"), F.col("th").alias("wt"), "id")
     texts = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wt"))).select("id", "text")
-    return texts.mapInArrow(run, "id bigint, n int, set binary").dropDuplicates(["id"])
+    return texts.mapInArrow(run, "id bigint, n int, set binary")
 
 
 def split(nodes: DataFrame, sets: DataFrame, children: float, similarity: float) -> DataFrame:
@@ -229,13 +229,21 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY
         sizes = cut(nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
         return cut(nodes.join(sizes, "node").select("id", "node", "size"))
 
+    # Whether rows repeat both id and text: only then do sets have to be told apart from their copies, which shuffles them.
+    repeated = not members.filter("fp is not null").groupBy("doc_id", "th").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
+
+    def sets_for(ids: DataFrame) -> DataFrame:
+        found = sets_of(own, classes.join(ids.select("id").distinct(), "id").select("doc_id", "th", "id"), k)
+        return cut(found.dropDuplicates(["id"]) if repeated else found)
+
     level = shared(classes.select("id", F.explode("paths").alias("node")))
-    sets = cut(sets_of(own, classes.join(level.select("id").distinct(), "id").select("doc_id", "th", "id"), k))
+    sets = None
     leaves = level.filter(F.col("size") <= small)
     for step in range(2, depth + 1):
         large = level.filter(F.col("size") > small)
         if large.isEmpty():
             break
+        sets = sets_for(large) if sets is None else sets
         found = cut(split(large, sets, children, similarity))
         sizes = cut(found.groupBy("parent", "whole", "node").agg(F.count("*").alias("size")))
         alike = sizes.groupBy("parent").agg((F.sum(F.when(2 * F.col("size") >= F.col("whole"), F.col("size")).otherwise(0)) / F.sum("size")).alias("share")).filter(F.col("share") >= ALIKE)
@@ -279,7 +287,8 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY
             label = spread(links)
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit].astype(np.int64) @ weight), pa.array(ids[label[hit]])], names=["id", "links", "near"])
 
-    full = flagged.join(facts, "id").join(sets.select("id", "set"), "id").select("leaf", "ti", "tj", "t", "id", "w", "n", "sketch", "leaves", "set")
+    # Only what has a possible partner is compared as a whole set.
+    full = flagged.join(facts, "id").join(sets_for(flagged).select("id", "set"), "id").select("leaf", "ti", "tj", "t", "id", "w", "n", "sketch", "leaves", "set")
     linked = cut(by_group(full, keys).mapInArrow(verified, "id bigint, links bigint, near bigint"))
     counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("id").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "id")
