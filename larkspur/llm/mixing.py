@@ -97,7 +97,8 @@ def schedule(spark, table: pd.DataFrame) -> DataFrame:
     counts = drawn.groupBy("s", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("s").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("s", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
-    ranked = drawn.join(offsets, ["s", "chunk"]).select("s", (F.col("off") + F.col("own")).alias("r"))
+    # Both sides grow with the schedule, however well they compress: neither may be broadcast.
+    ranked = drawn.hint("merge").join(offsets, ["s", "chunk"]).select("s", (F.col("off") + F.col("own")).alias("r"))
     due = spark.createDataFrame(table[["__s", "slots"]], "s bigint, slots bigint")
     got = counts.groupBy("s").agg(F.sum("n").alias("got"))
     late = due.join(got, "s", "left").withColumn("got", F.coalesce("got", F.lit(0))).filter("got < slots").select("s", F.explode(F.sequence("got", F.col("slots") - 1)).alias("r"))
@@ -132,7 +133,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     before = Window.partitionBy("s").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per.select("s", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
     order = Window.partitionBy("s", "bucket").orderBy("h", "doc_id")
-    spread = placed.join(offsets, ["s", "bucket"])
+    spread = placed.hint("merge").join(offsets, ["s", "bucket"])
     spread = spread.withColumn("rn", F.row_number().over(order)).withColumn("hi", F.col("off") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     spread = spread.withColumn("lo", F.col("hi") - F.col("size"))
 
@@ -147,6 +148,6 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     start = F.col("b") * block
     low = F.greatest(F.col("lo"), start)
     taken = F.coalesce("whole", F.lit(0)) * F.greatest(F.lit(0), F.least(F.col("hi"), start + block) - low) + F.greatest(F.lit(0), F.least(F.col("hi"), start + F.coalesce("words", F.lit(0))) - low)
-    summed = pieces.join(takes, ["s", "b"], "left").groupBy("s", "bucket", "rn", "doc_id", "size", "h").agg(F.sum(F.when(F.col("b") < 0, 0).otherwise(taken)).cast("bigint").alias("taken"))
+    summed = pieces.hint("merge").join(takes, ["s", "b"], "left").groupBy("s", "bucket", "rn", "doc_id", "size", "h").agg(F.sum(F.when(F.col("b") < 0, 0).otherwise(taken)).cast("bigint").alias("taken"))
     named = sources.select(F.col("__s").alias("s"), "source_size", "target")
     return summed.join(F.broadcast(named) if len(table) <= BROADCAST_SOURCES else named, "s").select("doc_id", "size", "source_size", "target", "taken", F.col("h").alias("row_digest"))
