@@ -24,6 +24,8 @@ SYMBOLS = "#*$%&|<>"
 #: The character classes of the histograms.
 CLASSES = ("capital", "other letter", "digit", "space", "stop", "other")
 
+#: Bits of a position in a text, where it shares a long with a hash.
+PLACE_BITS = 20
 COMMON, MIN_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 40, 100, 0.23, 0.36
 
 
@@ -37,22 +39,42 @@ def split_words(text: Column) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """Words inside three-word windows that the text has twice or more. Only where some window repeats are they sorted, by hash and position, to bring equal ones together."""
+    """Words inside three-word windows that the text has twice or more.
+
+    Only where some window repeats are they sorted to bring equal ones together: as longs of the hash's upper bits and the position, or, if
+    the text is too long for that or two hashes agree in the upper bits alone, by whole hash and position.
+    """
 
     def windows(h: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2]))
 
-    def again(s: Column) -> Column:
-        same = lambda i, x: F.coalesce(F.get(s, i)["h"] == x["h"], F.lit(False))
-        return F.array_sort(F.transform(F.filter(s, lambda x, i: same(i - 1, x) | same(i + 1, x)), lambda x: x["p"]))
+    def by_pair(v: Column) -> Column:
+        def again(s: Column) -> Column:
+            same = lambda i, x: F.coalesce(F.get(s, i)["h"] == x["h"], F.lit(False))
+            return F.transform(F.filter(s, lambda x, i: same(i - 1, x) | same(i + 1, x)), lambda x: x["p"])
+
+        return let(F.array_sort(F.transform(v, lambda x, i: F.struct(x.alias("h"), i.alias("p")))), again)
+
+    place = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
+    upper = lambda x: F.shiftright(x, PLACE_BITS)
+
+    def by_long(v: Column) -> Column:
+        def hits(s: Column) -> Column:
+            return F.filter(s, lambda x, i: F.coalesce(upper(F.get(s, i - 1)) == upper(x), F.lit(False)) | F.coalesce(upper(F.get(s, i + 1)) == upper(x), F.lit(False)))
+
+        def settled(s: Column) -> Column:
+            clash = F.exists(F.transform(s, lambda x, i: (upper(F.get(s, i - 1)) == upper(x)) & (v[place(F.get(s, i - 1))] != v[place(x)])), lambda x: F.coalesce(x, F.lit(False)))
+            return F.when(clash, by_pair(v)).otherwise(F.transform(s, place))
+
+        return let(let(F.sort_array(F.transform(v, lambda x, i: x.bitwiseAND(F.lit(-1 << PLACE_BITS)).bitwiseOR(i.cast("bigint")))), hits), settled)
 
     def covered(p: Column) -> Column:
         steps = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
     def counted(v: Column) -> Column:
-        placed = F.array_sort(F.transform(v, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
-        return F.when(F.size(F.array_distinct(v)) == F.size(v), 0).otherwise(let(let(placed, again), covered))
+        places = F.when(F.size(v) < 1 << PLACE_BITS, by_long(v)).otherwise(by_pair(v))
+        return F.when(F.size(F.array_distinct(v)) == F.size(v), 0).otherwise(let(F.sort_array(places), covered))
 
     return F.when(F.size(words) < 4, 0).otherwise(let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), counted)).cast("bigint")
 
@@ -80,7 +102,7 @@ def class_counts(text: Column) -> Column:
     without = lambda x, pattern: F.length(F.regexp_replace(x, pattern, ""))
 
     def counts(rest: Column) -> Column:
-        n = F.array(F.length(filled), F.length(rest), without(filled, r"\p{Lu}+"), without(rest, r"\p{Nd}+"), without(rest, r"\s+"), without(rest, "[.,;:!?]+"))
+        n = F.array(F.length(filled), F.length(rest), F.length(filled) - F.regexp_count(filled, F.lit(r"\p{Lu}")), without(rest, r"\p{Nd}+"), without(rest, r"\s+"), without(rest, "[.,;:!?]+"))
 
         def classes(c: Column) -> Column:
             full, left = c[0], c[1]
