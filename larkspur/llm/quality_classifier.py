@@ -120,9 +120,10 @@ class Network:
         g["embed"][PAD] = 0
         return g
 
-    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 3) -> Network:
-        """Adam over shuffled batches; both labels weigh the same in all."""
+    def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 6, steps: int = 400, batch: int = 32, rate: float = 0.01, seed: int = 3) -> Network:
+        """Adam over shuffled batches, for `epochs` and `steps` at least; both labels weigh the same in all."""
         rng, t = np.random.default_rng(seed), 0
+        epochs = max(epochs, -(-steps * batch // max(1, len(texts))))
         share = np.bincount(labels, minlength=2).clip(1) / len(labels)
         moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.parts.items()}
         for epoch in range(epochs):

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import bpe, embedding_dedup, jaccard_join, language_id, line_dedup, mixing, quality_classifier, quality_rules, suffix_dedup, token_counts
 
+from larkspur.llm.oracles import ORACLE
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 
 def query(f):
