@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.graph import by_group, components, grouped, spread
-from larkspur.llm.store import cut
+from larkspur.llm.store import cut, drop
 
 SIMILARITY, RECALL = 0.93, 0.9999
 PROJECTIONS, WINDOW, GRID, GRID_WIDTH = 64, 1.5, 2, 4.2
@@ -157,6 +157,7 @@ def embedding_dedup(vectors: DataFrame, similarity: float = SIMILARITY, recall:
     named = cut(named.withColumn("root", F.coalesce("root", "id")))
     firsts = named.groupBy("root").agg(F.min("least").alias("component_id"))
     final = cut(named.join(firsts, "root").select("label", "dim", "fp", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", F.lit(True).alias("known")))
+    drop(classes, linked, named)
     out = rows.select("vec_id", "label", "dim", "fp").join(final, ["label", "dim", "fp"], "left")
     component = F.when(F.col("known"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.store import cut
+from larkspur.llm.store import cut, drop
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = cut(both.join(least, "u").filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
         lower = cut(large.groupBy("a").agg(F.min("b").alias("m")))
         down = large.join(lower, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = cut(down.unionAll(lower.select("a", F.col("m").alias("b"))).distinct())
+        last, current = current, cut(down.unionAll(lower.select("a", F.col("m").alias("b"))).distinct())
+        drop(last, least, large, lower)
         after = mark(current)
         if after == before:
             break

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.arrays import chunks, mix, shingles, word_hashes
 from larkspur.llm.graph import Forest, by_group, components, grouped, spread, tiled
-from larkspur.llm.store import cut
+from larkspur.llm.store import cut, drop
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 CHILDREN, DEPTH, SMALL, TILE = 1.5, 4, 2048, 2048
@@ -226,15 +226,21 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY
 
     def shared(nodes: DataFrame) -> DataFrame:
         # Written, so that the join has plain exchanges, whose large partitions can be split.
-        sizes = cut(nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
-        return cut(nodes.join(sizes, "node").select("id", "node", "size"))
+        sizes = kept(nodes.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"))
+        return kept(nodes.join(sizes, "node").select("id", "node", "size"))
 
     # Whether rows repeat both id and text: only then do sets have to be told apart from their copies, which shuffles them.
     repeated = not members.filter("fp is not null").groupBy("doc_id", "th").agg(F.count("*").alias("rows")).filter("rows > 1").isEmpty()
 
+    scratch: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        scratch.append(cut(df))
+        return scratch[-1]
+
     def sets_for(ids: DataFrame) -> DataFrame:
         found = sets_of(own, classes.join(ids.select("id").distinct(), "id").select("doc_id", "th", "id"), k)
-        return cut(found.dropDuplicates(["id"]) if repeated else found)
+        return kept(found.dropDuplicates(["id"]) if repeated else found)
 
     level = shared(classes.select("id", F.explode("paths").alias("node")))
     sets = None
@@ -244,17 +250,17 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY
         if large.isEmpty():
             break
         sets = sets_for(large) if sets is None else sets
-        found = cut(split(large, sets, children, similarity))
-        sizes = cut(found.groupBy("parent", "whole", "node").agg(F.count("*").alias("size")))
+        found = kept(split(large, sets, children, similarity))
+        sizes = kept(found.groupBy("parent", "whole", "node").agg(F.count("*").alias("size")))
         alike = sizes.groupBy("parent").agg((F.sum(F.when(2 * F.col("size") >= F.col("whole"), F.col("size")).otherwise(0)) / F.sum("size")).alias("share")).filter(F.col("share") >= ALIKE)
-        alike = cut(alike.select(F.col("parent").alias("node")))
+        alike = kept(alike.select(F.col("parent").alias("node")))
         leaves = leaves.unionByName(large.join(alike, "node", "left_semi").select("id", "node", "size"))
-        apart = cut(sizes.filter("size > 1").join(alike, F.col("parent") == alike["node"], "left_anti").select("node", "size"))
-        level = cut(found.select("id", "node").join(apart, "node").select("id", "node", "size"))
+        apart = kept(sizes.filter("size > 1").join(alike, F.col("parent") == alike["node"], "left_anti").select("node", "size"))
+        level = kept(found.select("id", "node").join(apart, "node").select("id", "node", "size"))
         leaves = leaves.unionByName(level if step == depth else level.filter(F.col("size") <= small))
-    leaves = cut(leaves.select("id", F.col("node").alias("leaf"), "size"))
+    leaves = kept(leaves.select("id", F.col("node").alias("leaf"), "size"))
 
-    lists = cut(leaves.groupBy("id").agg(F.sort_array(F.collect_list("leaf")).alias("leaves")))
+    lists = kept(leaves.groupBy("id").agg(F.sort_array(F.collect_list("leaf")).alias("leaves")))
     facts = classes.select("id", "w", "n", "sketch").join(lists, "id")
     keys = ["leaf", "ti", "tj"]
 
@@ -272,7 +278,7 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY
                 yield from table.select(["leaf", "ti", "tj", "t", "id"]).filter(pa.array(ok.any(1))).combine_chunks().to_batches()
 
     tiles = tiled(leaves.join(facts, "id"), "leaf", tile, "id").select("leaf", "ti", "tj", "t", "id", "n", "sketch", "leaves")
-    flagged = cut(by_group(tiles, keys).mapInArrow(candidates, "leaf bigint, ti bigint, tj bigint, t bigint, id bigint"))
+    flagged = kept(by_group(tiles, keys).mapInArrow(candidates, "leaf bigint, ti bigint, tj bigint, t bigint, id bigint"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, keys):
@@ -289,14 +295,15 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY
 
     # Only what has a possible partner is compared as a whole set.
     full = flagged.join(facts, "id").join(sets_for(flagged).select("id", "set"), "id").select("leaf", "ti", "tj", "t", "id", "w", "n", "sketch", "leaves", "set")
-    linked = cut(by_group(full, keys).mapInArrow(verified, "id bigint, links bigint, near bigint"))
+    linked = kept(by_group(full, keys).mapInArrow(verified, "id bigint, links bigint, near bigint"))
     counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("id").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "id")
     named = classes.select("id", "fp", "w", "th", F.col("doc_id").alias("class_id")).join(counts, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    named = cut(named)
+    named = kept(named)
     first = F.min(F.struct(F.col("class_id").isNull().alias("z"), F.col("class_id").alias("d"), F.col("th").alias("t"))).alias("o")
     firsts = named.groupBy("root").agg(first).select("root", F.col("o.d").alias("component_id"), F.col("o.t").alias("keeper"))
     final = cut(named.join(firsts, "root").select("fp", "class_id", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", "keeper"))
+    drop(classes, *scratch)
     out = members.join(final.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f"), "left")
     class_id, component = F.when(F.col("f").isNull(), F.col("doc_id")).otherwise(F.col("class_id")), F.when(F.col("f").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "th", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("doc_id").eqNullSafe(component) & F.coalesce(F.col("th") == F.col("keeper"), F.lit(True))).alias("kept"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.quality_rules import let, split_words
-from larkspur.llm.store import cut
+from larkspur.llm.store import cut, drop
 
 MIN_WORDS = 5
 
@@ -129,7 +129,9 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     near_lines = numbered.join(near, "id").select("k1", "k2", F.lit(True).alias("near"))
     bad = distinct.join(near_lines, ["k1", "k2"], "left").filter("near or again").select("k1", "k2", "n", F.col("o").alias("earliest"), "near")
     gone = lines.join(bad, key).filter(F.coalesce(F.col("near"), F.lit(False)) | (F.col("o") > F.col("earliest")))
-    return gone.groupBy(F.col("o.d").alias("__d"), F.col("o.t").alias("__t")).agg(F.collect_set("o.l").alias("dropped"))
+    out = cut(gone.groupBy(F.col("o.d").alias("__d"), F.col("o.t").alias("__t")).agg(F.collect_set("o.l").alias("dropped")))
+    drop(lines, distinct, numbered, emitted)
+    return out
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.store import cut
+from larkspur.llm.store import cut, drop
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -147,6 +147,7 @@ def references(docs: DataFrame, common: int) -> list[dict]:
     sums: dict[str, list[int]] = {}
     for r in counts.filter(F.col("word").startswith(" ")).collect():
         sums.setdefault(r["lang"], [0] * len(CLASSES))[int(r["word"])] = r["n"]
+    drop(counts)
     out = []
     for lang in sorted(totals):
         own = sorted((-r["n"], r["word"].encode(), r["word"]) for r in top if r["lang"] == lang)

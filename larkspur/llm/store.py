@@ -27,4 +27,15 @@ def cut(df: DataFrame) -> DataFrame:
     df.write.parquet(folder)
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out._larkspur_folder = folder
+    return out
+
+
+def drop(*frames: DataFrame | None) -> None:
+    """Deletes tables that cut() wrote and that no plan needs any more; they would else stay until the session ends."""
+    for df in frames:
+        folder = getattr(df, "_larkspur_folder", None)
+        if folder:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrays import prefix_hash, range_hash, utf8
-from larkspur.llm.store import cut
+from larkspur.llm.store import cut, drop
 
 LENGTH, GRAM = 400, 64
 SEGMENT = 1 << 20
@@ -178,8 +178,8 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
 
 
-def repeated_starts(docs: DataFrame, length: int, gram: int, hot: int) -> DataFrame:
-    """Rows (cls, s, e): the strings that begin at s to e in the text cls also start elsewhere."""
+def repeated_starts(docs: DataFrame, length: int, gram: int, hot: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Rows (cls, s, e): the strings that begin at s to e in the text cls also start elsewhere. And the tables that they're made from."""
     spark = docs.sparkSession
     texts = docs.select(identity(F.col("text")).alias("cls"), "text").filter(F.octet_length("text") >= length)
     # Written, so that the join has plain exchanges, and a gram that very many texts share can be split.
@@ -250,7 +250,7 @@ def repeated_starts(docs: DataFrame, length: int, gram: int, hot: int) -> DataFr
     # Rows with equal texts are one text above; all their strings are repeated.
     sizes = texts.groupBy("cls").agg(F.count("*").alias("rows"), F.max(F.octet_length("text")).cast("bigint").alias("size"))
     copies = sizes.filter("rows > 1").select("cls", F.lit(0).cast("bigint").alias("s"), (F.col("size") - length).alias("e"))
-    return whole.unionByName(constructed).unionByName(hot_rows).unionByName(copies)
+    return whole.unionByName(constructed).unionByName(hot_rows).unionByName(copies), [shared, found, marked, wanted, strings]
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, kept: bool = False) -> DataFrame:
@@ -262,9 +262,10 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
     """
     added = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"} | ({"kept": "binary"} if kept else {})
     keep = [c for c in docs.columns if c not in added]
-    starts = repeated_starts(docs, length, gram, hot)
+    starts, scratch = repeated_starts(docs, length, gram, hot)
     # One row per text; written, so that the join below has plain exchanges and can split a text with very many rows.
     lists = cut(starts.groupBy("cls").agg(F.collect_set(F.struct("s", "e")).alias("found")).select(F.col("cls").alias("__c"), F.transform("found", lambda x: x["s"]).alias("__s"), F.transform("found", lambda x: x["e"]).alias("__e")))
+    drop(*scratch)
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("__text"), identity(F.col("text")).alias("__k"))
     source = source.join(lists, F.col("__k") == F.col("__c"), "left").drop("__k", "__c")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if not f.name.startswith("__")), *(f"{k} {v}" for k, v in added.items())])
