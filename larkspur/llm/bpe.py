@@ -16,14 +16,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrays import mix, prefix_hash, range_hash
 
-#: Entries of a worker's memo of merged pre-tokens; past it the memo starts anew, which costs time and changes nothing else.
+#: Entries of a worker's memo of pre-tokens. A full one is set aside, and what is met again comes over from it: this costs time and changes nothing else.
 MEMO = 250_000
+#: Bytes of text whose new pre-tokens are looked up at once.
+TOGETHER = 1 << 18
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -79,8 +82,8 @@ class PerfectHash:
                     base += np.uint64(64)
                     continue
                 break
-        self.data, self.bounds = flat(keys)
-        self.check = h[self.slot_key]
+        data, self.bounds = flat(keys)
+        self.raw, self.check = data.tobytes(), h[self.slot_key]
 
     def slots(self, h: np.ndarray, seed: np.ndarray) -> np.ndarray:
         return (mix(h + seed * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.n)).astype(np.int64)
@@ -92,7 +95,7 @@ class PerfectHash:
         h = hashes(items)
         slot = self.slots(h, self.seeds[(h % np.uint64(self.buckets)).astype(np.int64)])
         key = np.where(self.check[slot] == h, self.slot_key[slot], -1)
-        raw, at = self.data.tobytes(), self.bounds
+        raw, at = self.raw, self.bounds
         for i in np.flatnonzero(key >= 0).tolist():
             if raw[at[key[i]] : at[key[i] + 1]] != items[i]:
                 key[i] = -1
@@ -100,27 +103,31 @@ class PerfectHash:
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """The ids of a piece: the pair of the lowest rank (leftmost among equals) is merged until none is left."""
+    """The ids of a piece: the pair of the lowest rank (leftmost among equals) is merged until none is left.
+
+    A part begins at i and ends where the next one begins, at end[i], which is 0 once the part has gone into another. A heap entry
+    is a rank, where the pair begins and where it ends; it is stale if no two parts have those bounds any more.
+    """
     n = len(piece)
-    after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    parts = [piece[i : i + 1] for i in range(n)]
-    heap = [(r, i, parts[i] + parts[i + 1]) for i in range(n - 1) if (r := ranks.get(parts[i] + parts[i + 1])) is not None]
+    end, before, find = list(range(1, n + 1)), list(range(-1, n - 1)), ranks.get
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := find(piece[i : i + 2])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, both = heapq.heappop(heap)
-        if not alive[i] or (j := after[i]) >= n or len(parts[i]) + len(parts[j]) != len(both) or parts[i] + parts[j] != both:
+        _, i, e = heapq.heappop(heap)
+        j = end[i]
+        if not j or j >= n or end[j] != e:
             continue
-        parts[i], alive[j], after[i] = both, False, after[j]
-        if after[j] < n:
-            before[after[j]] = i
-            if (r := ranks.get(x := both + parts[after[i]])) is not None:
-                heapq.heappush(heap, (r, i, x))
-        if before[i] >= 0 and (r := ranks.get(x := parts[before[i]] + both)) is not None:
-            heapq.heappush(heap, (r, before[i], x))
+        end[i], end[j] = e, 0
+        if e < n:
+            before[e] = i
+            if (r := find(piece[i : end[e]])) is not None:
+                heapq.heappush(heap, (r, i, end[e]))
+        if i and (r := find(piece[before[i] : e])) is not None:
+            heapq.heappush(heap, (r, before[i], e))
     out, i = [], 0
     while i < n:
-        out.append(ranks[parts[i]])
-        i = after[i]
+        out.append(ranks[piece[i : end[i]]])
+        i = end[i]
     return out
 
 
@@ -133,22 +140,33 @@ class Codec:
         self.ranks = {x: i for i, x in enumerate(vocabulary)}
         self.data, self.bounds = flat(vocabulary)
         self.memo: dict[str, str] = {}
+        self.aside: dict[str, str] = {}
 
     def resolve(self, tokens: Iterable[str]) -> None:
         """Puts the ids of pre-tokens that the memo lacks into it."""
-        new = [t for t in tokens if t not in self.memo]
+        new = []
+        for t in tokens:
+            if t not in self.memo:
+                known = self.aside.get(t)
+                if known is None:
+                    new.append(t)
+                else:
+                    self.memo[t] = known
         raw = [t.encode() for t in new]
         for t, piece, key in zip(new, raw, self.index.find(raw).tolist(), strict=True):
             self.memo[t] = str(key) if key >= 0 else " ".join(map(str, merge(piece, self.ranks)))
 
-    def encode_text(self, text: str) -> str:
-        """The decimal ids of a text, joined by spaces."""
-        tokens = self.pattern.findall(text)
-        distinct = set(tokens)
+    def encode_texts(self, texts: list[str]) -> list[str]:
+        """The decimal ids of each text, joined by spaces."""
+        tokens = [self.pattern.findall(t) for t in texts]
+        distinct = set().union(*tokens)
         if len(self.memo) + len(distinct) > self.limit:
-            self.memo.clear()
+            self.memo, self.aside = {}, self.memo
         self.resolve(distinct)
-        return " ".join(map(self.memo.__getitem__, tokens))
+        return [" ".join(map(self.memo.__getitem__, t)) for t in tokens]
+
+    def encode_text(self, text: str) -> str:
+        return self.encode_texts([text])[0]
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for x in self.encode_text(text).split()]
@@ -184,11 +202,14 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bo
         codec = Codec(words, split, index=index)
         for batch in batches:
             at = batch.schema.get_field_index("__text")
-            for i in range(0, max(batch.num_rows, 0), 512):
-                part = batch.slice(i, 512)
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
+            i = 0
+            while i < batch.num_rows:
+                # Rows of about TOGETHER bytes of text, one at least.
+                j = max(i + 1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + TOGETHER, "right")))
+                part, i = batch.slice(i, j - i), j
                 n, coded, plain, lists = [], [], [], []
-                for x in part.column(at):
-                    joined = codec.encode_text(x.as_py() or "")
+                for joined in codec.encode_texts([x or "" for x in part.column(at).to_pylist()]):
                     numbers = np.fromstring(joined, np.int64, sep=" ") if joined else np.zeros(0, np.int64)
                     n.append(len(numbers))
                     coded.append(hashlib.sha256(joined.encode()).hexdigest())
