@@ -101,7 +101,10 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 150,
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Model | None:
-    """The model of the rows with text and language; None without such rows. The sample is by digest of the text, so it's the same for the same rows."""
+    """The model of the rows with text and language; None without such rows. The sample is by digest of the text, so it's the same for the same rows.
+
+    On the driver there are a count for each language and the sample's features: languages are a closed list, each with a codeword.
+    """
     rows = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).filter("lang is not null and text is not null and text <> ''")
     found = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
     if not found:

@@ -26,6 +26,7 @@ CLASSES = ("capital", "other letter", "digit", "space", "stop", "other")
 
 #: Bits of a position in a text, where it shares a long with a hash.
 PLACE_BITS = 20
+MAX_LANGUAGES = 200
 COMMON, MIN_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 40, 100, 0.23, 0.36
 
 
@@ -131,7 +132,8 @@ def references(docs: DataFrame, common: int) -> list[dict]:
     """For each language: its most frequent words (ties by code point), their shares and that of the others, and shares of character classes.
 
     All texts of a language of at least the base rules' 50 words count, in one pass: its words and its character classes are summed by the same
-    aggregate, partially before the shuffle. No task ranks a language's whole vocabulary.
+    aggregate, partially before the shuffle. No task ranks a language's whole vocabulary. Of more than MAX_LANGUAGES the ones with most words
+    have references, which bounds what comes to the driver; documents of any language are compared with the nearest.
     """
     use = docs.select("lang", "text").filter("lang is not null and text is not null")
     split = use.select("lang", "text", F.explode(F.array(split_words(F.col("text")))).alias("w")).filter(F.size("w") >= 50)
@@ -140,12 +142,13 @@ def references(docs: DataFrame, common: int) -> list[dict]:
     each = F.transform("w", lambda w: F.struct(w.alias("word"), F.lit(1).cast("bigint").alias("n")))
     counts = cut(split.select("lang", F.inline(F.concat(each, classes))).groupBy("lang", "word").agg(F.sum("n").alias("n")))
     words = counts.filter(~F.col("word").startswith(" "))
+    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts_of = lambda df: df.filter(F.col("lang").isin(list(totals)))
     ranked = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))
-    top = words.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(64))).withColumn("k", ranked(["lang", "salt"])).filter(F.col("k") <= common)
+    top = counts_of(words).withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(64))).withColumn("k", ranked(["lang", "salt"])).filter(F.col("k") <= common)
     top = top.withColumn("k", ranked(["lang"])).filter(F.col("k") <= common).select("lang", "word", "n").collect()
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     sums: dict[str, list[int]] = {}
-    for r in counts.filter(F.col("word").startswith(" ")).collect():
+    for r in counts_of(counts).filter(F.col("word").startswith(" ")).collect():
         sums.setdefault(r["lang"], [0] * len(CLASSES))[int(r["word"])] = r["n"]
     drop(counts)
     out = []
