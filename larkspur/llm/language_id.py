@@ -112,7 +112,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     most = max(1, min(per_language, sample_rows // len(found)))
     rank = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
     share = F.element_at(F.create_map(*(F.lit(v) for name, n in found for v in (name, min(1.0, most / n)))), F.col("lang"))
-    sample = rows.filter(rank < share)
+    # Copies of a text have one digest, so of a text that is there very often one row is learned from.
+    sample = rows.filter(rank < share).distinct()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, bounds in chunks(batches, "text"):

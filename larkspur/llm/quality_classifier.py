@@ -146,9 +146,9 @@ class Network:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, train_bytes: int = TRAIN_BYTES) -> Network | None:
     """The network fitted on rows whose label is 0 or 1; None if either is missing.
 
-    Rows with a null label, key or text take no part. A key that stands in either table more than once gives a row for each pair.
+    Rows with a null label, key or text take no part. A key gives a row for each of its labels; of its texts it has the least.
     """
-    marked = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).filter("y in (0, 1) and k is not null")
+    marked = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).filter("y in (0, 1) and k is not null").distinct()
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(counts) < 2:
         return None
@@ -157,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
     # About per_class rows of each label: that bounds what is broadcast, and with train_bytes what comes to the driver.
     sample = marked.filter(rank < share)
     texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text")).filter("text is not null")
-    got = texts.join(F.broadcast(sample), "k").select("k", "y", F.substring(F.encode("text", "utf-8"), 1, train_bytes).alias("b")).collect()
+    got = texts.join(F.broadcast(sample), "k").groupBy("k", "y").agg(F.min(F.substring(F.encode("text", "utf-8"), 1, train_bytes)).alias("b")).collect()
     rows = sorted((r["k"], r["y"], bytes(r["b"])) for r in got)
     y = np.array([r[1] for r in rows], np.int64)
     return Network().fit([r[2] for r in rows], y) if len(set(y.tolist())) == 2 else None
