@@ -1,8 +1,8 @@
 """Near-duplicate lines by a deletion neighbourhood, in DataFrame functions only.
 
 A line is the sequence of its words, and two lines of MIN_WORDS words or more are near if one edit of a word (substituted, inserted or deleted)
-makes them equal: with five words or more that is a similarity of 0.8 or more. Shorter lines are near only if equal; lines without
-words are never compared. A line goes if an earlier one (by doc_id, then line number) is near to it, whether that one is kept or not.
+makes them equal. The bound is one edit whatever the length, not a share of the words: longer lines with two or more edits aren't near, even
+where four fifths of their words agree. Shorter lines are near only if equal; lines without words are never compared. A line goes if an earlier one (by doc_id, then line number) is near to it, whether that one is kept or not.
 
 1. Equal lines come together by digest, and of each set the earliest is remembered; from here on there are distinct lines only.
 2. One edit leaves a line's first or its second half alone, so lines that share neither half with another are done.
