@@ -4,7 +4,7 @@ Each language has a codeword of bits; one binary classifier per bit (logistic re
 whether a text's language has that bit set. Decoding adds each bit's logistic loss under every codeword and chooses the language of
 least loss, so that wrong bits are outvoted; a text whose two best codewords are near is flagged as ambiguous.
 
-The classifiers are fitted on a bounded sample, `per_language` labelled rows of each language by digest order within `sample_rows` in all,
+The classifiers are fitted on a bounded sample, the `per_language` different texts of least digest of each language within `sample_rows` in all,
 whose features (not texts) come to the driver. Prediction is one pass over the rows, without a shuffle.
 """
 
@@ -15,10 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrays import chunks, utf8
+from larkspur.llm.store import cut, drop
 
 ORDERS, BITS = (2, 3, 4), 12
 DIMENSION = 1 << BITS
@@ -103,17 +104,22 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], steps: int = 150,
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """The model of the rows with text and language; None without such rows. The sample is by digest of the text, so it's the same for the same rows.
 
-    On the driver there are a count for each language and the sample's features: languages are a closed list, each with a codeword.
+    Copies of a text count once, so a language has all its different texts in the sample, or the `most` of least digest, however often one of them
+    is repeated. On the driver there are a digest for each language and the sample's features: languages are a closed list, each with a codeword.
     """
     rows = labelled.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text")).filter("lang is not null and text is not null and text <> ''")
-    found = sorted((r["lang"], r["n"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
+    keys = cut(rows.select("lang", F.xxhash64("text").alias("h")).distinct())
+    found = keys.select("lang").distinct().count()
     if not found:
+        drop(keys)
         return None
-    most = max(1, min(per_language, sample_rows // len(found)))
-    rank = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.element_at(F.create_map(*(F.lit(v) for name, n in found for v in (name, min(1.0, most / n)))), F.col("lang"))
-    # Copies of a text have one digest, so of a text that is there very often one row is learned from.
-    sample = rows.filter(rank < share).distinct()
+    most = max(1, min(per_language, sample_rows // found))
+    # No task ranks all texts of a language: the least of each salt first, then the least of those.
+    least = lambda df, *by: df.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("k") <= most)
+    limits = least(least(keys.withColumn("salt", F.pmod("h", F.lit(64))), "lang", "salt"), "lang").groupBy("lang").agg(F.max("h").alias("h")).collect()
+    drop(keys)
+    limit = F.element_at(F.create_map(*(F.lit(v) for r in limits for v in (r["lang"], r["h"]))), F.col("lang"))
+    sample = rows.filter(F.xxhash64("text") <= limit).distinct()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, bounds in chunks(batches, "text"):

@@ -192,6 +192,18 @@ def test_language_id(spark):
     assert language_id.predict(docs.limit(0), model).count() == 0
 
 
+def test_language_id_learns_languages_of_copies(spark):
+    """Copies of one text are most rows of a language, and there are more languages than the sample has rows."""
+    rows = languages(random.Random(6), 300)
+    copied = next(t for _, t, k, *_ in rows if k == "aa")
+    docs = frame(spark, rows).unionByName(spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit(copied).alias("text"), F.lit("aa").alias("lang"), F.lit("s").alias("source"), F.lit(0).cast("bigint").alias("n_chars")))
+    model = language_id.fit(docs, per_language=50)
+    assert model.languages == ["aa", "bb", "cc", "dd", "ee"]
+    got = language_id.predict(frame(spark, rows), model).filter("lang = 'aa'").collect()
+    assert np.mean([r.lang_pred == "aa" for r in got]) > 0.95
+    assert language_id.fit(frame(spark, rows), sample_rows=3).languages == model.languages
+
+
 def test_network_gradients():
     rng = np.random.default_rng(1)
     texts = [rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in (5, 300, 900, 0, 2)]
