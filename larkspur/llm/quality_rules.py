@@ -6,7 +6,8 @@ Jensen-Shannon distance (base 2, so 0 to 1) and fails where even the nearest is
 aren't compared, as short texts stray from any reference by chance.
 
 One pass over the documents counts words and character classes by language (partial sums before the shuffle); what comes to the driver is
-`common` words and one histogram per language. The verdict itself is a projection: no shuffle, no join.
+`common` words and one histogram per language. The verdict itself is a projection: no shuffle, no join. Past INLINE_LANGUAGES languages the references
+stay in a table of one row, which is broadcast; the distances are the same, and no language is left out.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ CLASSES = ("capital", "other letter", "digit", "space", "stop", "other")
 
 #: Bits of a position in a text, where it shares a long with a hash.
 PLACE_BITS = 20
-MAX_LANGUAGES = 200
+#: Up to this many languages the references are constants of the plan; past it, a broadcast row.
+INLINE_LANGUAGES = 200
 COMMON, MIN_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 40, 100, 0.23, 0.36
 
 
@@ -128,12 +130,12 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)))
 
 
-def references(docs: DataFrame, common: int) -> list[dict]:
+def references(docs: DataFrame, common: int, inline: int = INLINE_LANGUAGES) -> list[dict] | DataFrame:
     """For each language: its most frequent words (ties by code point), their shares and that of the others, and shares of character classes.
 
     All texts of a language of at least the base rules' 50 words count, in one pass: its words and its character classes are summed by the same
-    aggregate, partially before the shuffle. No task ranks a language's whole vocabulary. Of more than MAX_LANGUAGES the ones with most words
-    have references, which bounds what comes to the driver; documents of any language are compared with the nearest.
+    aggregate, partially before the shuffle. No task ranks a language's whole vocabulary. Every language has a reference: a list of up to `inline`,
+    which bounds what comes to the driver, else one row with the array `__refs`; documents of any language are compared with the nearest.
     """
     use = docs.select("lang", "text").filter("lang is not null and text is not null")
     split = use.select("lang", "text", F.explode(F.array(split_words(F.col("text")))).alias("w")).filter(F.size("w") >= 50)
@@ -142,13 +144,19 @@ def references(docs: DataFrame, common: int) -> list[dict]:
     each = F.transform("w", lambda w: F.struct(w.alias("word"), F.lit(1).cast("bigint").alias("n")))
     counts = cut(split.select("lang", F.inline(F.concat(each, classes))).groupBy("lang", "word").agg(F.sum("n").alias("n")))
     words = counts.filter(~F.col("word").startswith(" "))
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
-    counts_of = lambda df: df.filter(F.col("lang").isin(list(totals)))
+    by_lang = words.groupBy("lang").agg(F.sum("n").alias("total"))
+    totals = {r["lang"]: r["total"] for r in by_lang.limit(inline + 1).collect()}
     ranked = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))
-    top = counts_of(words).withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(64))).withColumn("k", ranked(["lang", "salt"])).filter(F.col("k") <= common)
-    top = top.withColumn("k", ranked(["lang"])).filter(F.col("k") <= common).select("lang", "word", "n").collect()
+    top = words.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(64))).withColumn("k", ranked(["lang", "salt"])).filter(F.col("k") <= common)
+    top = top.withColumn("k", ranked(["lang"])).filter(F.col("k") <= common).select("lang", "word", "n")
+    numbers = counts.filter(F.col("word").startswith(" "))
+    if len(totals) > inline:
+        out = cut(reference_row(top, by_lang, numbers))
+        drop(counts)
+        return out
+    top = top.collect()
     sums: dict[str, list[int]] = {}
-    for r in counts_of(counts).filter(F.col("word").startswith(" ")).collect():
+    for r in numbers.collect():
         sums.setdefault(r["lang"], [0] * len(CLASSES))[int(r["word"])] = r["n"]
     drop(counts)
     out = []
@@ -159,6 +167,17 @@ def references(docs: DataFrame, common: int) -> list[dict]:
     return out
 
 
+def reference_row(top: DataFrame, totals: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The references of all languages as one row: the array `__refs` of (words, shares, classes), and `__vocabulary`, all their words."""
+    own = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "word"))).alias("own"))
+    shares = lambda c, t: let(F.transform(c, lambda x: -x["m"] / t), lambda p: F.concat(p, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(p, F.lit(0.0), lambda a, b: a + b)))))
+    each = own.join(totals, "lang").select("lang", F.col("own.word").alias("words"), shares(F.col("own"), F.col("total")).alias("shares"))
+    of = lambda i: F.coalesce(F.sum(F.when(F.col("word") == f" {i}", F.col("n"))), F.lit(0)).cast("double")
+    classes = numbers.groupBy("lang").agg(F.array(*(of(i) for i in range(len(CLASSES)))).alias("c")).select("lang", normalised(F.col("c")).alias("classes"))
+    refs = each.join(classes, "lang").agg(F.collect_list(F.struct("words", "shares", "classes")).alias("__refs"))
+    return refs.select("__refs", F.array_distinct(F.flatten("__refs.words")).alias("__vocabulary"))
+
+
 def literal(values: list, kind: str) -> Column:
     return F.array(*(F.lit(v) for v in values)).cast(f"array<{kind}>") if values else F.expr(f"cast(array() as array<{kind}>)")
 
@@ -206,13 +225,31 @@ def nearest(text: Column, words: Column, refs: list[dict]) -> tuple[Column, Colu
     return by_class, let(F.struct(codes.alias("c"), F.size(words).cast("double").alias("n")), lambda x: by_words(x["c"], x["n"]))
 
 
+def nearest_of_row(text: Column, words: Column, refs: Column, vocabulary: Column) -> tuple[Column, Column]:
+    """As nearest(), with the references in columns."""
+    closest = lambda to: F.least(F.array_min(F.transform(refs, to)), F.lit(1.0))
+    by_class = let(normalised(class_counts(text)), lambda p: closest(lambda r: distance(p, r["classes"])))
+
+    def by_words(x: Column) -> Column:
+        def to(r: Column) -> Column:
+            shares = F.transform(r["words"], lambda w: F.coalesce(F.try_element_at(x["counts"], w), F.lit(0)) / x["n"])
+            p = let(shares, lambda s: F.concat(s, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(s, F.lit(0.0), lambda a, b: a + b)))))
+            return distance(p, r["shares"])
+
+        return closest(to)
+
+    counts = let(F.array_intersect(words, vocabulary), lambda own: F.map_from_arrays(own, F.transform(own, lambda w: F.size(F.filter(words, lambda v: v == w)))))
+    return by_class, let(F.struct(counts.alias("counts"), F.size(words).cast("double").alias("n")), by_words)
+
+
 def quality_rules(
     docs: DataFrame,
     common: int = COMMON,
     min_words: int = MIN_WORDS,
     max_class_distance: float = MAX_CLASS_DISTANCE,
     max_word_distance: float = MAX_WORD_DISTANCE,
-    refs: list[dict] | None = None,
+    refs: list[dict] | DataFrame | None = None,
+    inline: int = INLINE_LANGUAGES,
 ) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance and kept to each row.
 
@@ -220,16 +257,22 @@ def quality_rules(
     verdicts; a null language only keeps a row out of the references. An empty table has no references and gives no rows. Columns
     of the input that bear one of the new names are replaced.
     """
-    refs = references(docs, common) if refs is None else refs
+    refs = references(docs, common, inline) if refs is None else refs
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
     counts = base(F.col("text"), F.col("__w"))
-    by_class, by_words = nearest(F.col("text"), F.col("__w"), refs)
     # A generator keeps the words from being split anew wherever they are used.
     split = docs.select("*", F.explode(F.array(split_words(F.coalesce(F.col("text"), F.lit(""))))).alias("__w"))
-    out = split.select(*kept, "__w", *(v.alias(k) for k, v in counts.items()))
+    row = []
+    if isinstance(refs, DataFrame):
+        row = ["__refs", "__vocabulary"]
+        split = split.crossJoin(F.broadcast(refs))
+        by_class, by_words = nearest_of_row(F.col("text"), F.col("__w"), F.col("__refs"), F.col("__vocabulary"))
+    else:
+        by_class, by_words = nearest(F.col("text"), F.col("__w"), refs)
+    out = split.select(*kept, "__w", *row, *(v.alias(k) for k, v in counts.items()))
     out = out.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     judged = ~F.col("base_failed") & (F.col("n_words") >= min_words)
-    out = out.withColumn("class_distance", F.when(judged, by_class)).withColumn("word_distance", F.when(judged, by_words)).drop("__w")
+    out = out.withColumn("class_distance", F.when(judged, by_class)).withColumn("word_distance", F.when(judged, by_words)).drop("__w", *row)
     within = F.coalesce((F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance), F.lit(True))
     return out.withColumn("kept", ~F.col("base_failed") & within)

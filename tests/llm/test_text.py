@@ -164,6 +164,18 @@ def test_rules_verdict(spark):
     assert kept == {r[0] for r in good}
 
 
+def test_rules_of_many_languages(spark, docs):
+    """No language is without a reference, however many there are; and both forms of the references give the same distances."""
+    rng = random.Random(4)
+    rows = [(2 * i + k, " ".join(f"w{i}x{rng.randrange(20)}" for _ in range(130 if i < 200 else 110)), f"l{i}", "s", 0) for i in range(205) for k in range(2)]
+    kept = {r.doc_id for r in quality_rules.quality_rules(frame(spark, rows)).filter("kept").collect()}
+    assert kept == {r[0] for r in rows}
+    order = lambda df: sorted((str(r.doc_id), r.text or "", r.kept, r.class_distance, r.word_distance) for r in df.filter("class_distance is not null").collect())
+    a, b = order(quality_rules.quality_rules(docs)), order(quality_rules.quality_rules(docs, inline=0))
+    assert a and [x[:3] for x in a] == [x[:3] for x in b]
+    assert [x[3:] for x in b] == [pytest.approx(x[3:], abs=1e-9) for x in a]
+
+
 def languages(rng, n):
     letters = {"aa": "abcde", "bb": "defgh", "cc": "hijkl", "dd": "lmnop", "ee": "pqrst"}
     return [(i, " ".join("".join(rng.choice(letters[k]) for _ in range(rng.randrange(2, 7))) for _ in range(40)), k, "s", 0) for i in range(n) for k in [list(letters)[i % 5]]]
