@@ -98,28 +98,29 @@ WITH d AS (
 ), histogram AS (
   SELECT *, [CAST(x AS DOUBLE) FOR x IN [capital, letter - capital, digit, space, stop, c - letter - digit - space - stop]] AS classes FROM counted
 ), reference AS (
-  SELECT lang, sum(capital) AS a, sum(letter - capital) AS b, sum(digit) AS c, sum(space) AS d, sum(stop) AS e, sum(c - letter - digit - space - stop) AS f, sum(n_words) AS total FROM histogram WHERE lang IS NOT NULL AND n_words >= 50 GROUP BY lang
+  SELECT lang, sum(capital) AS a, sum(letter - capital) AS b, sum(digit) AS c, sum(space) AS d, sum(stop) AS e, sum(c - letter - digit - space - stop) AS f, sum(n_words) AS total FROM histogram
+  WHERE lang IS NOT NULL AND n_words >= 50 GROUP BY lang HAVING count(*) >= {quality_rules.REFERENCE_DOCUMENTS}
 ), counts AS (
   SELECT lang, word, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, encode(word)) AS k FROM (SELECT lang, unnest(w) AS word FROM base WHERE lang IS NOT NULL AND n_words >= 50) GROUP BY lang, word
 ), top AS (SELECT * FROM counts WHERE k <= {quality_rules.COMMON}),
-judged AS (SELECT * FROM histogram WHERE NOT base_failed AND n_words >= {quality_rules.MIN_WORDS}),
-class_pairs AS (
-  SELECT doc_id, lang2, unnest(classes) / list_sum(classes) AS p, unnest(q) / list_sum(q) AS q FROM judged, (SELECT lang AS lang2, [CAST(x AS DOUBLE) FOR x IN [a, b, c, d, e, f]] AS q FROM reference)
+judged AS (
+  SELECT h.*, r.lang AS lang2, total, [CAST(x AS DOUBLE) FOR x IN [r.a, r.b, r.c, r.d, r.e, r.f]] AS q FROM histogram h JOIN reference r ON h.lang IS NULL OR h.lang = r.lang WHERE NOT base_failed AND n_words >= {quality_rules.MIN_WORDS}
+), class_pairs AS (
+  SELECT doc_id, lang2, unnest(classes) / list_sum(classes) AS p, unnest(q) / list_sum(q) AS q FROM judged
 ), own AS (
-  SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM judged) GROUP BY ALL
+  SELECT doc_id, word, count(*) AS n FROM (SELECT DISTINCT doc_id, w FROM judged), (SELECT unnest(w) AS word) GROUP BY ALL
 ), common AS (
-  SELECT j.doc_id, t.lang AS lang2, coalesce(o.n, 0) / CAST(j.n_words AS DOUBLE) AS p, t.n / CAST(r.total AS DOUBLE) AS q FROM judged j CROSS JOIN top t JOIN reference r ON r.lang = t.lang LEFT JOIN own o ON o.doc_id = j.doc_id AND o.word = t.word
+  SELECT j.doc_id, lang2, coalesce(o.n, 0) / CAST(j.n_words AS DOUBLE) AS p, t.n / CAST(j.total AS DOUBLE) AS q FROM judged j JOIN top t ON t.lang = j.lang2 LEFT JOIN own o ON o.doc_id = j.doc_id AND o.word = t.word
 ), word_pairs AS (
   SELECT * FROM common UNION ALL SELECT doc_id, lang2, greatest(0, 1 - sum(p)), greatest(0, 1 - sum(q)) FROM common GROUP BY ALL
 ), near AS (
-  SELECT kind, doc_id, min(distance) AS distance FROM (
-    SELECT kind, doc_id, lang2, sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))) AS distance
-    FROM (SELECT 'class' AS kind, * FROM class_pairs UNION ALL SELECT 'word', * FROM word_pairs) GROUP BY ALL
-  ) GROUP BY kind, doc_id
+  SELECT kind, doc_id, lang2, sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))) AS distance
+  FROM (SELECT 'class' AS kind, * FROM class_pairs UNION ALL SELECT 'word', * FROM word_pairs) GROUP BY ALL
+), verdict AS (
+  SELECT h.doc_id, bool_or(a.distance <= {quality_rules.MAX_CLASS_DISTANCE} AND b.distance <= CASE WHEN n_words < {quality_rules.SHORT_WORDS} THEN {quality_rules.MAX_SHORT_WORD_DISTANCE} ELSE {quality_rules.MAX_WORD_DISTANCE} END) AS near_one
+  FROM histogram h JOIN near a ON a.doc_id = h.doc_id AND a.kind = 'class' JOIN near b ON b.doc_id = h.doc_id AND b.kind = 'word' AND b.lang2 = a.lang2 GROUP BY h.doc_id
 )
-SELECT h.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(a.distance <= {quality_rules.MAX_CLASS_DISTANCE} AND b.distance <= {quality_rules.MAX_WORD_DISTANCE}, true) AS kept
-FROM histogram h LEFT JOIN near a ON a.doc_id = h.doc_id AND a.kind = 'class' LEFT JOIN near b ON b.doc_id = h.doc_id AND b.kind = 'word'"""
+SELECT h.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(near_one, true) AS kept FROM histogram h LEFT JOIN verdict v ON v.doc_id = h.doc_id"""
 
 ORACLE = {
     "op3_line_dedup": LINE_DEDUP,

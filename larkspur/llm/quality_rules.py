@@ -1,11 +1,11 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 Each language's reference is two histograms over all its documents of 50 words or more: shares of character classes, and shares of
-the language's most frequent words (and of all other words). A document is compared with every language's reference by
-Jensen-Shannon distance (base 2, so 0 to 1) and fails where even the nearest is beyond a threshold; texts below a guard's length
-aren't compared, as short texts stray from any reference by chance.
+the language's most frequent words (and of all other words). A document is compared with its own language's reference, or the nearest where its
+language is null, by Jensen-Shannon distance (base 2, so 0 to 1) and fails where it is beyond a threshold; texts below a guard's length and
+texts of languages without enough texts for a reference aren't compared, and short texts may stray further by their common words.
 
-One pass over the documents counts words and character classes by language (partial sums before the shuffle); what comes to the driver is
+One pass over the documents counts words by language (partial sums before the shuffle); what comes to the driver is
 `common` words and one histogram per language. The verdict itself is a projection: no shuffle, no join. Past INLINE_LANGUAGES languages the references
 stay in a table of one row, which is broadcast; the distances are the same, and no language is left out.
 """
@@ -14,10 +14,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.llm.columns import boxed, unboxed
 from larkspur.llm.store import cut, drop
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
@@ -29,7 +29,11 @@ CLASSES = ("capital", "other letter", "digit", "space", "stop", "other")
 PLACE_BITS = 20
 #: Up to this many languages the references are constants of the plan; past it, a broadcast row.
 INLINE_LANGUAGES = 200
-COMMON, MIN_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 40, 100, 0.23, 0.36
+COMMON, MIN_WORDS, MAX_CLASS_DISTANCE, MAX_WORD_DISTANCE = 40, 50, 0.23, 0.36
+#: Texts under so many words may be this far by their common words.
+SHORT_WORDS, MAX_SHORT_WORD_DISTANCE = 100, 0.45
+#: A language has a reference from so many texts on.
+REFERENCE_DOCUMENTS = 20
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -37,19 +41,34 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column more, evaluated once: a generator's output is never inlined, and what stands on it can be compiled."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def split_words(text: Column) -> Column:
-    return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(text, SEPARATORS), "")
 
 
-def repeated_words(words: Column) -> Column:
-    """Words inside three-word windows that the text has twice or more.
+def with_windows(df: DataFrame) -> DataFrame:
+    """df with words `w` gets `s`: for a text with three-word windows that come twice or more, its windows in order, as longs of the hash's upper bits
+    and the position; and `v`, all windows' hashes by position. s is null where no window comes twice, and where the text is too long for such longs.
 
-    Only where some window repeats are they sorted to bring equal ones together: as longs of the hash's upper bits and the position, or, if
-    the text is too long for that or two hashes agree in the upper bits alone, by whole hash and position.
+    Each step stands on a generator's column, so that the sort, over plain longs, is compiled.
     """
+    several = F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0)))
+    # Written with a slice, so that no window is partial.
+    df = bound(df, "v", F.transform(several, lambda x, i: F.xxhash64(x, F.get("w", i + 1), F.get("w", i + 2))))
+    twice = (F.size(F.array_distinct("v")) < F.size("v")) & (F.size("v") < 1 << PLACE_BITS)
+    df = bound(df, "s", F.when(twice, F.transform("v", lambda x, i: x.bitwiseAND(F.lit(-1 << PLACE_BITS)).bitwiseOR(i.cast("bigint")))))
+    return df.withColumn("s", F.sort_array("s"))
+
 
-    def windows(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - 3), lambda i: F.xxhash64(h[i], h[i + 1], h[i + 2]))
+def repeated_words() -> Column:
+    """Words inside three-word windows that the text has twice or more, from the columns of with_windows().
+
+    Where two hashes agree in the upper bits alone, and in texts too long for with_windows(), windows are sorted by whole hash and position.
+    """
 
     def by_pair(v: Column) -> Column:
         def again(s: Column) -> Column:
@@ -61,37 +80,35 @@ def repeated_words(words: Column) -> Column:
     place = lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int")
     upper = lambda x: F.shiftright(x, PLACE_BITS)
 
-    def by_long(v: Column) -> Column:
-        def hits(s: Column) -> Column:
-            return F.filter(s, lambda x, i: F.coalesce(upper(F.get(s, i - 1)) == upper(x), F.lit(False)) | F.coalesce(upper(F.get(s, i + 1)) == upper(x), F.lit(False)))
+    def by_long(s: Column, v: Column) -> Column:
+        # The first of each two neighbours whose upper bits agree.
+        firsts = F.filter(F.sequence(F.lit(0), F.size(s) - 2), lambda i: upper(F.get(s, i)) == upper(F.get(s, i + 1)))
 
-        def settled(s: Column) -> Column:
-            clash = F.exists(F.transform(s, lambda x, i: (upper(F.get(s, i - 1)) == upper(x)) & (v[place(F.get(s, i - 1))] != v[place(x)])), lambda x: F.coalesce(x, F.lit(False)))
-            return F.when(clash, by_pair(v)).otherwise(F.transform(s, place))
+        def settled(k: Column) -> Column:
+            clash = F.exists(k, lambda i: F.get(v, place(F.get(s, i))) != F.get(v, place(F.get(s, i + 1))))
+            both = F.concat(F.transform(k, lambda i: place(F.get(s, i))), F.transform(k, lambda i: place(F.get(s, i + 1))))
+            return F.when(clash, by_pair(v)).otherwise(F.array_distinct(both))
 
-        return let(let(F.sort_array(F.transform(v, lambda x, i: x.bitwiseAND(F.lit(-1 << PLACE_BITS)).bitwiseOR(i.cast("bigint")))), hits), settled)
+        return let(firsts, settled)
 
     def covered(p: Column) -> Column:
         steps = F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3))))
         return F.aggregate(steps, F.lit(0), lambda a, b: a + b)
 
-    def counted(v: Column) -> Column:
-        places = F.when(F.size(v) < 1 << PLACE_BITS, by_long(v)).otherwise(by_pair(v))
-        return F.when(F.size(F.array_distinct(v)) == F.size(v), 0).otherwise(let(F.sort_array(places), covered))
+    s, v = F.col("s"), F.col("v")
+    places = F.when(s.isNotNull(), by_long(s, v)).when(F.size(v) >= 1 << PLACE_BITS, by_pair(v))
+    return F.coalesce(let(F.sort_array(places), lambda p: F.when(p.isNotNull(), covered(p))), F.lit(0)).cast("bigint")
 
-    return F.when(F.size(words) < 4, 0).otherwise(let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), counted)).cast("bigint")
 
-
-def base(text: Column, words: Column) -> dict[str, Column]:
-    """The base counts; words are those of the text."""
-    filled = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(filled, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+def base() -> dict[str, Column]:
+    """The base counts, from the columns t (the text), x (the text without spaces and small Latin letters), w, s and v."""
+    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return {
-        "n_words": F.size(words).cast("bigint"),
-        "word_chars": F.length(F.array_join(words, "")).cast("bigint"),
-        "n_symbols": (F.length(filled) - F.length(F.regexp_replace(filled, f"[{SYMBOLS}]+", ""))).cast("bigint"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
-        "n_repeat_words": repeated_words(words),
+        "n_words": F.size("w").cast("bigint"),
+        "word_chars": F.length(F.array_join("w", "")).cast("bigint"),
+        "n_symbols": (F.length("x") - F.length(F.regexp_replace("x", f"[{SYMBOLS}]+", ""))).cast("bigint"),
+        "n_dup_lines": F.when(F.instr("t", "\n") > 0, let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).otherwise(0).cast("bigint"),
+        "n_repeat_words": repeated_words(),
     }
 
 
@@ -99,21 +116,33 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def class_counts(text: Column) -> Column:
-    """Characters of each class, in order, as an array of doubles. The classes without letters are counted in what is left of the text without them."""
-    filled = F.coalesce(text, F.lit(""))
-    without = lambda x, pattern: F.length(F.regexp_replace(x, pattern, ""))
+def stripped(text: Column) -> Column:
+    """The text without spaces and small Latin letters, which are most of it and in no class by themselves that isn't counted otherwise."""
+    return F.regexp_replace(text, "[a-z ]+", "")
+
+
+def class_counts(chars: Column, word_chars: Column, rest: Column) -> Column:
+    """Characters of each class, in order, as an array of doubles. chars: the text's length; word_chars: the length of its words; rest: stripped().
+
+    Separators of words are the white space, so words' lengths give the spaces; each step takes a class out of what is left.
+    """
+
+    def without(x: Column, pattern: str) -> Column:
+        return F.regexp_replace(x, pattern, "")
 
-    def counts(rest: Column) -> Column:
-        n = F.array(F.length(filled), F.length(rest), F.length(filled) - F.regexp_count(filled, F.lit(r"\p{Lu}")), without(rest, r"\p{Nd}+"), without(rest, r"\s+"), without(rest, "[.,;:!?]+"))
+    def classes(r: Column) -> Column:
+        # Lengths of the text's rest without small letters, then capitals, other letters, digits, space and stops; letters that are gone from chars are small.
+        left = let(F.array(r, without(r, r"\p{Lu}+"), without(r, r"\p{L}+")), lambda x: let(without(x[2], r"\p{Nd}+"), lambda y: let(without(y, r"\s+"), lambda z: F.array(*(F.length(i) for i in (r, x[1], x[2], y, z, without(z, "[.,;:!?]+")))))))
+        spaces = chars - word_chars
 
-        def classes(c: Column) -> Column:
-            full, left = c[0], c[1]
-            return F.array(*(x.cast("double") for x in (full - c[2], c[2] - left, left - c[3], left - c[4], left - c[5], c[3] + c[4] + c[5] - 2 * left)))
+        def counts(n: Column) -> Column:
+            # The rest has all of a text's characters but blanks and a to z.
+            capital, digit, stop, other = n[0] - n[1], n[2] - n[3], n[4] - n[5], n[5]
+            return F.array(*(x.cast("double") for x in (capital, word_chars - capital - digit - stop - other, digit, spaces, stop, other)))
 
-        return let(n, classes)
+        return let(left, counts)
 
-    return let(F.regexp_replace(filled, r"\p{L}+", ""), counts)
+    return let(rest, classes)
 
 
 def normalised(counts: Column) -> Column:
@@ -130,116 +159,85 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, b: a + b)))
 
 
-def references(docs: DataFrame, common: int, inline: int = INLINE_LANGUAGES) -> list[dict] | DataFrame:
+def references(docs: DataFrame, common: int, inline: int = INLINE_LANGUAGES, min_documents: int = REFERENCE_DOCUMENTS) -> list[dict] | DataFrame:
     """For each language: its most frequent words (ties by code point), their shares and that of the others, and shares of character classes.
 
-    All texts of a language of at least the base rules' 50 words count, in one pass: its words and its character classes are summed by the same
-    aggregate, partially before the shuffle. No task ranks a language's whole vocabulary. Every language has a reference: a list of up to `inline`,
-    which bounds what comes to the driver, else one row with the array `__refs`; documents of any language are compared with the nearest.
+    All texts of a language of at least the base rules' 50 words count, in one pass that counts each language's words (partially before the shuffle); the
+    classes follow from the counted words, and spaces from one further entry for each text. No task ranks a language's whole vocabulary. Every language
+    with `min_documents` such texts has a reference: a list of up to `inline`, which bounds what comes to the driver, else one row with the array `refs`.
     """
     use = docs.select("lang", "text").filter("lang is not null and text is not null")
-    split = use.select("lang", "text", F.explode(F.array(split_words(F.col("text")))).alias("w")).filter(F.size("w") >= 50)
-    # Words have no space; the classes go under names that do.
-    classes = F.transform(class_counts(F.col("text")), lambda x, i: F.struct(F.concat(F.lit(" "), i.cast("string")).alias("word"), x.cast("bigint").alias("n")))
-    each = F.transform("w", lambda w: F.struct(w.alias("word"), F.lit(1).cast("bigint").alias("n")))
-    counts = cut(split.select("lang", F.inline(F.concat(each, classes))).groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    words = counts.filter(~F.col("word").startswith(" "))
-    by_lang = words.groupBy("lang").agg(F.sum("n").alias("total"))
-    totals = {r["lang"]: r["total"] for r in by_lang.limit(inline + 1).collect()}
+    split = bound(use, "w", split_words(F.col("text"))).filter(F.size("w") >= 50)
+    # Words have no space; the number of a text's spaces goes under a name that has one.
+    spaces = F.concat(F.lit(" "), (F.length("text") - F.length(F.array_join("w", ""))).cast("string"))
+    counts = cut(split.select("lang", F.explode(F.array_append("w", spaces)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n")))
+    is_word = ~F.col("word").startswith(" ")
+    rest = counts.withColumn("x", F.when(is_word, stripped(F.col("word"))).otherwise(""))
+    n, x, some = F.col("n"), F.col("x"), F.col("x") != ""
+    of = lambda pattern: F.sum(F.when(some, n * (F.length(x) - F.length(F.regexp_replace(x, pattern, ""))))).alias(pattern)
+    words, spaces = F.when(is_word, n), F.when(~is_word, n)
+    sums = rest.groupBy("lang").agg(
+        F.sum(words).alias("total"), F.sum(spaces).alias("documents"), F.sum(words * F.length("word")).alias("chars"), F.sum(spaces * F.expr("bigint(substring(word, 2))")).alias("space"),
+        F.sum(n * F.length(x)).alias("rest"), *(of(k) for k in (r"\p{Lu}+", r"\p{L}+", r"\p{Nd}+", "[.,;:!?]+")),
+    )
+    capital, letter, digit, stop = (F.coalesce(F.col(f"`{k}`"), F.lit(0)) for k in (r"\p{Lu}+", r"\p{L}+", r"\p{Nd}+", "[.,;:!?]+"))
+    other = F.col("rest") - letter - digit - stop
+    classes = F.array(*(c.cast("double") for c in (capital, F.col("chars") - capital - digit - stop - other, digit, F.col("space"), stop, other)))
+    totals = cut(sums.filter(F.col("documents") >= min_documents).select("lang", "total", normalised(classes).alias("classes")))
     ranked = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "word"))
-    top = words.withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(64))).withColumn("k", ranked(["lang", "salt"])).filter(F.col("k") <= common)
+    top = counts.filter(is_word).withColumn("salt", F.pmod(F.xxhash64("word"), F.lit(64))).withColumn("k", ranked(["lang", "salt"])).filter(F.col("k") <= common)
     top = top.withColumn("k", ranked(["lang"])).filter(F.col("k") <= common).select("lang", "word", "n")
-    numbers = counts.filter(F.col("word").startswith(" "))
-    if len(totals) > inline:
-        out = cut(reference_row(top, by_lang, numbers))
-        drop(counts)
+    found = totals.limit(inline + 1).collect()
+    if len(found) > inline:
+        out = cut(reference_row(top, totals))
+        drop(counts, totals)
         return out
     top = top.collect()
-    sums: dict[str, list[int]] = {}
-    for r in numbers.collect():
-        sums.setdefault(r["lang"], [0] * len(CLASSES))[int(r["word"])] = r["n"]
-    drop(counts)
+    drop(counts, totals)
     out = []
-    for lang in sorted(totals):
-        own = sorted((-r["n"], r["word"].encode(), r["word"]) for r in top if r["lang"] == lang)
-        p = [-n / totals[lang] for n, _, _ in own]
-        out.append({"lang": lang, "words": [w for _, _, w in own], "shares": [*p, max(0.0, 1 - sum(p))], "classes": [x / (sum(sums[lang]) or 1) for x in sums[lang]]})
+    for t in sorted(found, key=lambda r: r["lang"]):
+        own = sorted((-r["n"], r["word"].encode(), r["word"]) for r in top if r["lang"] == t["lang"])
+        p = [-n / t["total"] for n, _, _ in own]
+        out.append({"lang": t["lang"], "words": [w for _, _, w in own], "shares": [*p, max(0.0, 1 - sum(p))], "classes": list(t["classes"])})
     return out
 
 
-def reference_row(top: DataFrame, totals: DataFrame, numbers: DataFrame) -> DataFrame:
-    """The references of all languages as one row: the array `__refs` of (words, shares, classes), and `__vocabulary`, all their words."""
+def reference_row(top: DataFrame, totals: DataFrame) -> DataFrame:
+    """The references of all languages as one row: the array `refs` of (lang, words, shares, classes)."""
     own = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "word"))).alias("own"))
     shares = lambda c, t: let(F.transform(c, lambda x: -x["m"] / t), lambda p: F.concat(p, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(p, F.lit(0.0), lambda a, b: a + b)))))
-    each = own.join(totals, "lang").select("lang", F.col("own.word").alias("words"), shares(F.col("own"), F.col("total")).alias("shares"))
-    of = lambda i: F.coalesce(F.sum(F.when(F.col("word") == f" {i}", F.col("n"))), F.lit(0)).cast("double")
-    classes = numbers.groupBy("lang").agg(F.array(*(of(i) for i in range(len(CLASSES)))).alias("c")).select("lang", normalised(F.col("c")).alias("classes"))
-    refs = each.join(classes, "lang").agg(F.collect_list(F.struct("words", "shares", "classes")).alias("__refs"))
-    return refs.select("__refs", F.array_distinct(F.flatten("__refs.words")).alias("__vocabulary"))
+    each = own.join(totals, "lang").select("lang", F.col("own.word").alias("words"), shares(F.col("own"), F.col("total")).alias("shares"), "classes")
+    return each.agg(F.collect_list(F.struct("lang", "words", "shares", "classes")).alias("refs"))
 
 
 def literal(values: list, kind: str) -> Column:
     return F.array(*(F.lit(v) for v in values)).cast(f"array<{kind}>") if values else F.expr(f"cast(array() as array<{kind}>)")
 
 
-def word_numbers(words: Column, vocabulary: list[str]) -> Column:
-    """The numbers, in the vocabulary, of the words that are in it: each word's hash names a bucket of few entries."""
-    n = max(1, 4 * len(vocabulary))
-    buckets: list[list[int]] = [[] for _ in range(n)]
-    for i, w in enumerate(vocabulary):
-        h = xxhash.xxh64_intdigest(w.encode(), 42)
-        buckets[(h - (1 << 64) if h >> 63 else h) % n].append(i)
-    # One constant each, which the optimizer folds to a literal.
-    empty = "cast(array() as array<int>)"
-    table = F.expr("array(" + ", ".join(f"array({', '.join(map(str, b))})" if b else empty for b in buckets) + ")")
-    listed = literal(vocabulary, "string")
-
-    def number(w: Column) -> Column:
-        return F.try_element_at(F.filter(table[F.pmod(F.xxhash64(w), F.lit(n)).cast("int")], lambda i: listed[i] == w), F.lit(1))
-
-    return F.filter(F.transform(words, number), lambda i: i.isNotNull())
-
-
-def nearest(text: Column, words: Column, refs: list[dict]) -> tuple[Column, Column]:
-    """The document's least distance to a language's reference, by character classes and by common words; 0 where there is no reference."""
+def literal_references(refs: list[dict]) -> Column:
+    """The references as a constant of the plan, like reference_row()'s column."""
+    kind = "array<struct<lang:string,words:array<string>,shares:array<double>,classes:array<double>>>"
     if not refs:
-        return F.lit(0.0), F.lit(0.0)
-    shares = normalised(class_counts(text))
-    by_class = let(shares, lambda p: F.least(*(distance(p, literal(r["classes"], "double")) for r in refs), F.lit(1.0)))
-    vocabulary = sorted({w for r in refs for w in r["words"]})
-    number = {w: i for i, w in enumerate(vocabulary)}
-    base_code = 0x100
+        return F.expr(f"cast(array() as {kind})")
+    return F.array(*(F.struct(F.lit(r["lang"]).alias("lang"), literal(r["words"], "string").alias("words"), literal(r["shares"], "double").alias("shares"), literal(r["classes"], "double").alias("classes")) for r in refs))
 
-    def by_words(codes: Column, n: Column) -> Column:
-        # The words' numbers as characters of one string: a word's count is what the string loses without its character.
-        def to(r: dict) -> Column:
-            own = literal([chr(base_code + number[w]) for w in r["words"]], "string")
-            counts = F.transform(own, lambda c: (F.length(codes) - F.length(F.replace(codes, c, F.lit("")))) / n)
-            p = let(counts, lambda x: F.concat(x, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(x, F.lit(0.0), lambda a, b: a + b)))))
-            return distance(p, literal(r["shares"], "double"))
 
-        return F.least(*(to(r) for r in refs), F.lit(1.0))
+def compared(refs: Column, lang: Column, classes: Column, own: Column, n_words: Column, max_class: Column, max_word: Column) -> Column:
+    """The distances (class_distance, word_distance) to the language's reference, or to the nearest one of all where the language is null; null if there is none.
 
-    characters = literal([chr(base_code + i) for i in range(len(vocabulary))], "string")
-    codes = F.array_join(F.transform(word_numbers(words, vocabulary), lambda i: characters[i]), "")
-    return by_class, let(F.struct(codes.alias("c"), F.size(words).cast("double").alias("n")), lambda x: by_words(x["c"], x["n"]))
-
-
-def nearest_of_row(text: Column, words: Column, refs: Column, vocabulary: Column) -> tuple[Column, Column]:
-    """As nearest(), with the references in columns."""
-    closest = lambda to: F.least(F.array_min(F.transform(refs, to)), F.lit(1.0))
-    by_class = let(normalised(class_counts(text)), lambda p: closest(lambda r: distance(p, r["classes"])))
-
-    def by_words(x: Column) -> Column:
-        def to(r: Column) -> Column:
-            shares = F.transform(r["words"], lambda w: F.coalesce(F.try_element_at(x["counts"], w), F.lit(0)) / x["n"])
-            p = let(shares, lambda s: F.concat(s, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(s, F.lit(0.0), lambda a, b: a + b)))))
-            return distance(p, r["shares"])
+    classes: the text's counts by class; own: its words, of which those that are in no reference may be left out.
+    """
 
-        return closest(to)
+    def to(r: Column, p: Column) -> Column:
+        count = lambda w: F.size(own) - F.size(F.array_remove(own, w))
+        found = let(F.array_intersect(own, r["words"]), lambda here: F.map_from_arrays(here, F.transform(here, count)))
+        shares = let(found, lambda c: F.transform(r["words"], lambda w: F.coalesce(F.try_element_at(c, w), F.lit(0)) / n_words))
+        full = let(shares, lambda s: F.concat(s, F.array(F.greatest(F.lit(0.0), 1 - F.aggregate(s, F.lit(0.0), lambda a, b: a + b)))))
+        pair = F.struct(distance(p, r["classes"]).alias("c"), distance(full, r["shares"]).alias("w"))
+        return let(pair, lambda x: F.struct(F.greatest(x["c"] / max_class, x["w"] / max_word).alias("worst"), x["c"].alias("c"), x["w"].alias("w")))
 
-    counts = let(F.array_intersect(words, vocabulary), lambda own: F.map_from_arrays(own, F.transform(own, lambda w: F.size(F.filter(words, lambda v: v == w)))))
-    return by_class, let(F.struct(counts.alias("counts"), F.size(words).cast("double").alias("n")), by_words)
+    mine = F.filter(refs, lambda r: lang.isNull() | (r["lang"] == lang))
+    return F.array_min(let(normalised(classes), lambda p: F.transform(mine, lambda r: to(r, p))))
 
 
 def quality_rules(
@@ -248,31 +246,38 @@ def quality_rules(
     min_words: int = MIN_WORDS,
     max_class_distance: float = MAX_CLASS_DISTANCE,
     max_word_distance: float = MAX_WORD_DISTANCE,
+    short_words: int = SHORT_WORDS,
+    max_short_word_distance: float = MAX_SHORT_WORD_DISTANCE,
+    min_documents: int = REFERENCE_DOCUMENTS,
     refs: list[dict] | DataFrame | None = None,
     inline: int = INLINE_LANGUAGES,
 ) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, word_distance and kept to each row.
 
-    Null and empty texts have no words and fail the base rules. Rows are judged each by itself, so repeated rows and ids get equal
-    verdicts; a null language only keeps a row out of the references. An empty table has no references and gives no rows. Columns
-    of the input that bear one of the new names are replaced.
+    A text is compared with the reference of its own language; where that is null, with the one it is nearest to. Guards: texts under `min_words` words, and texts
+    of a language with fewer than `min_documents` texts, aren't compared, and have null distances; texts under `short_words` words may be at max_short_word_distance.
+
+    Null and empty texts have no words and fail the base rules. Rows are judged each by itself, so repeated rows and ids get equal verdicts; a null language
+    keeps a row out of the references. An empty table has no references and gives no rows. Columns of the input that bear one of the new names, in any case,
+    are replaced; all others stay, whatever their names. A text of any length is one row's work.
     """
-    refs = references(docs, common, inline) if refs is None else refs
+    refs = references(docs, common, inline, min_documents) if refs is None else refs
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in added]
-    counts = base(F.col("text"), F.col("__w"))
+    df = boxed(docs, added, F.coalesce(F.col("text"), F.lit("")).alias("t"), F.col("lang").cast("string").alias("lang"))
     # A generator keeps the words from being split anew wherever they are used.
-    split = docs.select("*", F.explode(F.array(split_words(F.coalesce(F.col("text"), F.lit(""))))).alias("__w"))
-    row = []
+    df = with_windows(bound(df, "w", split_words(F.col("t")))).withColumn("x", stripped(F.col("t")))
     if isinstance(refs, DataFrame):
-        row = ["__refs", "__vocabulary"]
-        split = split.crossJoin(F.broadcast(refs))
-        by_class, by_words = nearest_of_row(F.col("text"), F.col("__w"), F.col("__refs"), F.col("__vocabulary"))
+        df, own = df.crossJoin(F.broadcast(refs)), F.col("w")
     else:
-        by_class, by_words = nearest(F.col("text"), F.col("__w"), refs)
-    out = split.select(*kept, "__w", *row, *(v.alias(k) for k, v in counts.items()))
-    out = out.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
+        vocabulary = sorted({w for r in refs for w in r["words"]})
+        df, own = df.withColumn("refs", literal_references(refs)), F.filter("w", lambda x: x.isin(vocabulary))
+    df = df.select("row", "t", "lang", "w", "x", "refs", *(v.alias(k) for k, v in base().items()))
+    df = df.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     judged = ~F.col("base_failed") & (F.col("n_words") >= min_words)
-    out = out.withColumn("class_distance", F.when(judged, by_class)).withColumn("word_distance", F.when(judged, by_words)).drop("__w", *row)
-    within = F.coalesce((F.col("class_distance") <= max_class_distance) & (F.col("word_distance") <= max_word_distance), F.lit(True))
-    return out.withColumn("kept", ~F.col("base_failed") & within)
+    max_word = F.when(F.col("n_words") < short_words, max_short_word_distance).otherwise(max_word_distance)
+    classes = class_counts(F.length("t"), F.col("word_chars"), F.col("x"))
+    near = let(own, lambda o: compared(F.col("refs"), F.col("lang"), classes, o, F.col("n_words").cast("double"), F.lit(max_class_distance), max_word))
+    df = bound(df, "near", F.when(judged, near))
+    within = F.coalesce((F.col("near.c") <= max_class_distance) & (F.col("near.w") <= max_word), F.lit(True))
+    values = {a: F.col(a) for a in added[:6]} | {"class_distance": F.col("near.c"), "word_distance": F.col("near.w"), "kept": ~F.col("base_failed") & within}
+    return unboxed(df, docs, values)

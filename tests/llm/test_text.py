@@ -133,14 +133,17 @@ def base_counts(text):
 
 
 def test_quality_rules(docs, rows):
-    got = quality_rules.quality_rules(docs.withColumn("kept", F.lit(5)))
+    clashing = docs.withColumns({"kept": F.lit(5), "N_Words": F.lit("x"), **{c: F.lit(1) for c in ("row", "t", "w", "v", "s", "x", "refs", "near", "__w", "h")}})
+    got = quality_rules.quality_rules(clashing)
+    assert {"row", "t", "w", "v", "s", "x", "refs", "near", "__w", "h"} < set(got.columns) and "N_Words" not in got.columns
     found = Counter((r.doc_id, r.text, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got.collect())
     expected = Counter()
     for i, t, *_ in rows:
         c = base_counts(t)
         expected[(i, t, *c, c[0] < 50 or 100 * c[4] > 50 * c[0])] += 1
     assert found == expected
-    assert all(r.kept == (not r.base_failed and (r.class_distance or 0) <= quality_rules.MAX_CLASS_DISTANCE and (r.word_distance or 0) <= quality_rules.MAX_WORD_DISTANCE) for r in got.collect())
+    most = lambda r: quality_rules.MAX_SHORT_WORD_DISTANCE if r.n_words < quality_rules.SHORT_WORDS else quality_rules.MAX_WORD_DISTANCE
+    assert all(r.kept == (not r.base_failed and (r.class_distance or 0) <= quality_rules.MAX_CLASS_DISTANCE and (r.word_distance or 0) <= most(r)) for r in got.collect())
     assert quality_rules.quality_rules(docs.limit(0)).count() == 0
 
 
@@ -168,14 +171,39 @@ def test_rules_of_many_languages(spark, docs):
     """No language is without a reference, however many there are; and both forms of the references give the same distances."""
     rng = random.Random(4)
     rows = [(2 * i + k, " ".join(f"w{i}x{rng.randrange(20)}" for _ in range(130 if i < 200 else 110)), f"l{i}", "s", 0) for i in range(205) for k in range(2)]
-    kept = {r.doc_id for r in quality_rules.quality_rules(frame(spark, rows)).filter("kept").collect()}
-    assert kept == {r[0] for r in rows}
+    got = quality_rules.quality_rules(frame(spark, rows), min_documents=2).collect()
+    assert all(r.kept and r.word_distance is not None for r in got) and len(got) == len(rows)
     order = lambda df: sorted((str(r.doc_id), r.text or "", r.kept, r.class_distance, r.word_distance) for r in df.filter("class_distance is not null").collect())
-    a, b = order(quality_rules.quality_rules(docs)), order(quality_rules.quality_rules(docs, inline=0))
+    a, b = order(quality_rules.quality_rules(docs, min_documents=2)), order(quality_rules.quality_rules(docs, min_documents=2, inline=0))
     assert a and [x[:3] for x in a] == [x[:3] for x in b]
     assert [x[3:] for x in b] == [pytest.approx(x[3:], abs=1e-9) for x in a]
 
 
+def test_rules_guards(spark):
+    """Short junk is compared, a language of few texts isn't its own reference, and a null language takes the nearest one."""
+    rng = random.Random(8)
+    good = [(i, prose(rng, 300, 60), "en", "a", 0) for i in range(40)] + [(200 + i, " ".join(f"v{rng.randrange(60)}" for _ in range(300)), "de", "a", 0) for i in range(40)]
+    junk = " ".join(f"{rng.randrange(10**6)}#" for _ in range(70))
+    odd = [(100, junk, "en", "a", 0), (101, junk, None, "a", 0), (102, junk, "xx", "a", 0), (103, good[0][1], None, "a", 0), (104, good[50][1], None, "a", 0), (105, good[50][1], "en", "a", 0)]
+    got = {r.doc_id: r for r in quality_rules.quality_rules(frame(spark, good + odd)).collect()}
+    assert all(got[r[0]].kept for r in good)
+    assert [got[i].kept for i in range(100, 106)] == [False, False, True, True, True, False]
+    assert got[102].class_distance is None
+
+
+def test_rules_repeats_of_long_texts(spark):
+    """Texts past the bound of packed positions, and clashes of the packed hashes, take the other way."""
+    rng = random.Random(2)
+    rows = [(i, prose(rng, n, 12), "en", "a", 0) for i, n in enumerate([3, 4, 60, 61, 500])]
+    for bits in (quality_rules.PLACE_BITS, 5, 60):
+        old, quality_rules.PLACE_BITS = quality_rules.PLACE_BITS, bits
+        try:
+            got = {r.doc_id: r.n_repeat_words for r in quality_rules.quality_rules(frame(spark, rows), refs=[]).collect()}
+        finally:
+            quality_rules.PLACE_BITS = old
+        assert got == {i: base_counts(t)[4] for i, t, *_ in rows}
+
+
 def languages(rng, n):
     letters = {"aa": "abcde", "bb": "defgh", "cc": "hijkl", "dd": "lmnop", "ee": "pqrst"}
     return [(i, " ".join("".join(rng.choice(letters[k]) for _ in range(rng.randrange(2, 7))) for _ in range(40)), k, "s", 0) for i in range(n) for k in [list(letters)[i % 5]]]
