@@ -92,8 +92,25 @@ def words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, bounds, "left")
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word of all rows, and each row's first word's number (rows + 1)."""
+def pieces(data: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """One text's bytes in pieces of about `size` that end at the end of a word; a longer word is in one piece."""
+    a = 0
+    while a < len(data):
+        b = min(a + size, len(data))
+        while b < len(data):
+            space = np.flatnonzero(SPACE[data[b : b + size]])
+            b = b + int(space[0]) if len(space) else min(b + size, len(data))
+            if len(space):
+                break
+        yield data[a:b]
+        a = b
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, size: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of all rows, and each row's first word's number (rows + 1). One very long row goes through in pieces of `size` bytes."""
+    if len(bounds) == 2 and len(data) > size:
+        parts = [word_hashes(p, np.array([0, len(p)]), len(p))[0] for p in pieces(data, size)]
+        return np.concatenate(parts), np.array([0, sum(map(len, parts))])
     starts, ends, first = words(data, bounds)
     return range_hash(prefix_hash(data), starts, ends), first
 

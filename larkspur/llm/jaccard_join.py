@@ -29,7 +29,12 @@ from larkspur.llm.store import cut, drop
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.9999
 CHILDREN, DEPTH, SMALL, TILE = 1.5, 4, 2048, 2048
 BITS = np.uint64(48)
-SKETCH, SKETCH_FROM, SKETCH_LEAST = 64, 48, 0.45
+#: Bins of a sketch; the number of filled ones from which it is asked at all; standard deviations that a pair at the similarity may fall short of it.
+SKETCH, SKETCH_FROM, SKETCH_SLACK = 64, 48, 6.0
+#: Tokens that a split handles at once, and rows of a batch that it gives.
+SPLIT_TOKENS, OUT_ROWS = 1 << 20, 1 << 14
+#: Prefixes of digests that a broadcast table may hold, one long each: a proven bound, whatever the number of documents.
+PREFIXES = 1 << 19
 #: A bucket stays whole if this share of its sets' picks leads to buckets of half its size or more.
 ALIKE = 0.6
 
@@ -42,6 +47,12 @@ def runs_for(recall: float, depth: int, children: float = CHILDREN) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - alive)))
 
 
+def least_agreement(similarity: float) -> float:
+    """Share of equal bins below which no pair is compared: a pair at the similarity has it in each bin with that chance, in SKETCH_FROM bins at least, so it falls
+    SKETCH_SLACK deviations short with a chance of some 1e-9. 0 (no pair is dropped) where the similarity is too low for that."""
+    return max(0.0, similarity - SKETCH_SLACK * math.sqrt(similarity * (1 - similarity) / SKETCH_FROM))
+
+
 def token_sets(data: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Each row's distinct shingles, sorted, and each row's first one's number."""
     hashes, first = shingles(*word_hashes(data, bounds), k)
@@ -114,29 +125,45 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             packed = [pack(tokens[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("id")), pa.array(np.diff(first), pa.int32()), pa.array(packed, pa.binary())], names=["id", "n", "set"])
 
+    # A bounded table of digests' prefixes is broadcast first, so that texts which aren't wanted stay out of the shuffle.
+    prefix = lambda c: F.pmod(F.col(c), F.lit(PREFIXES)).cast("int")
     keys = wanted.select(F.col("doc_id").alias("wd"), F.col("th").alias("wt"), "id")
-    texts = docs.join(keys, F.col("doc_id").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wt"))).select("id", "text")
+    some = docs.withColumn("prefix", prefix("th")).join(F.broadcast(keys.select(prefix("wt").alias("prefix")).distinct()), "prefix", "left_semi")
+    texts = some.join(keys, F.col("doc_id").eqNullSafe(F.col("wd")) & (F.col("th") == F.col("wt"))).select("id", "text")
     return texts.mapInArrow(run, "id bigint, n int, set binary")
 
 
 def split(nodes: DataFrame, sets: DataFrame, children: float, similarity: float) -> DataFrame:
     """The next level of paths: rows (id, parent, whole, node) of the sets in the nodes; whole is the parent's size."""
 
+    names = ["id", "parent", "whole", "node"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            held, rows = [], 0
             for i, n, packed, nodes in zip(*(batch.column(batch.schema.get_field_index(c)) for c in ("id", "n", "set", "nodes")), strict=True):
                 tokens, nodes = unpack(packed.as_py()), nodes.as_py()
                 parents, whole = np.array([x["node"] for x in nodes], np.int64), np.array([x["size"] for x in nodes], np.int64)
-                path = np.repeat(parents.view(np.uint64), len(tokens))
-                at, more = picks(np.tile(tokens, len(nodes)), np.full(len(path), n.as_py()), path, children, similarity)
-                columns = [np.full(len(at), i.as_py(), np.int64), parents[at // max(1, len(tokens))], whole[at // max(1, len(tokens))], more.view(np.int64)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "parent", "whole", "node"])
+                # So many nodes at a time that a long text's copies of its tokens stay bounded.
+                for part in np.array_split(np.arange(len(nodes)), max(1, len(nodes) * len(tokens) // SPLIT_TOKENS)):
+                    if not len(part):
+                        continue
+                    path = np.repeat(parents[part].view(np.uint64), len(tokens))
+                    at, more = picks(np.tile(tokens, len(part)), np.full(len(path), n.as_py()), path, children, similarity)
+                    node = part[at // max(1, len(tokens))]
+                    held.append((np.full(len(at), i.as_py(), np.int64), parents[node], whole[node], more.view(np.int64)))
+                    rows += len(at)
+                    if rows >= OUT_ROWS:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
+                        held, rows = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=names)
 
     lists = nodes.groupBy("id").agg(F.collect_list(F.struct("node", "size")).alias("nodes"))
     return lists.join(sets, "id").select("id", "n", "set", "nodes").mapInArrow(run, "id bigint, parent bigint, whole bigint, node bigint")
 
 
-def possible(size: np.ndarray, brief: np.ndarray, leaves: list[np.ndarray], leaf: int, tile: np.ndarray, cross: bool, similarity: float) -> np.ndarray:
+def possible(size: np.ndarray, brief: np.ndarray, less: list[np.ndarray], tile: np.ndarray, cross: bool, similarity: float) -> np.ndarray:
     """Pairs of a bucket that may be similar, lie in different tiles if cross, and have no lesser bucket in common."""
     m = len(size)
     ok = np.minimum(size[:, None], size[None]) >= similarity * np.maximum(size[:, None], size[None]) - 1e-9
@@ -149,11 +176,10 @@ def possible(size: np.ndarray, brief: np.ndarray, leaves: list[np.ndarray], leaf
         there = x > 0
         equal += (x[:, None] == x[None]) & there[:, None]
         either += there[:, None] | there[None]
-    ok &= (equal >= SKETCH_LEAST * either) | (either < SKETCH_FROM)
+    ok &= (equal >= least_agreement(similarity) * either) | (either < SKETCH_FROM)
     if not ok.any():
         return ok
-    # Lesser buckets that at least two of the rows are in.
-    less = [x[x < leaf] for x in leaves]
+    # less: each row's lesser buckets. Those that at least two of the rows are in:
     names, column, times = np.unique(np.concatenate(less), return_inverse=True, return_counts=True)
     if len(names):
         row = np.repeat(np.arange(m), [len(x) for x in less])
@@ -217,12 +243,12 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     runs = runs_for(recall, depth, children)
     rows = described(own, k, runs, children, similarity)
-    # A third of the rows may have one set: all but digest and id come once per task that has it.
     all_rows = cut(rows.select("doc_id", "th", "fp", "n", "paths", "sketch"))
-    members = all_rows.select("doc_id", "th", "fp")
+    members = cut(all_rows.select("doc_id", "th", "fp"))
     least = F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("th").alias("t"))).alias("o")
     grouped_sets = all_rows.filter("fp is not null").groupBy("fp").agg(least, F.count("*").alias("w"), F.first("n").alias("n"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     classes = cut(grouped_sets.select("fp", F.col("o.d").alias("doc_id"), F.col("o.t").alias("th"), "w", "n", "paths", "sketch").withColumn("id", F.monotonically_increasing_id()))
+    drop(all_rows)
 
     def shared(nodes: DataFrame) -> DataFrame:
         # Written, so that the join has plain exchanges, whose large partitions can be split.
@@ -260,16 +286,21 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY
         leaves = leaves.unionByName(level if step == depth else level.filter(F.col("size") <= small))
     leaves = kept(leaves.select("id", F.col("node").alias("leaf"), "size"))
 
-    lists = kept(leaves.groupBy("id").agg(F.sort_array(F.collect_list("leaf")).alias("leaves")))
-    facts = classes.select("id", "w", "n", "sketch").join(lists, "id")
+    # Each set's leaves in order; a row of a leaf carries those before it, which are all that it is compared by.
+    lists = kept(leaves.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("leaf", "size"))).alias("at")))
+    facts = kept(classes.select("id", "n", "sketch").join(lists, "id"))
+    drop(lists, leaves)
+    in_leaves = facts.select("id", "n", "sketch", F.col("at.leaf").alias("all"), F.posexplode("at").alias("p", "here"))
+    in_leaves = in_leaves.select("id", "n", "sketch", F.col("here.leaf").alias("leaf"), F.col("here.size").alias("size"), F.slice("all", F.lit(1), F.col("p")).alias("before"))
     keys = ["leaf", "ti", "tj"]
 
     def bucket(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         size = np.array(table.column("n").to_pylist(), np.int64)
         brief = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        lists = [np.array(x, np.int64) for x in table.column("leaves").to_pylist()]
+        before = table.column("before").combine_chunks()
+        before = np.split(before.flatten().to_numpy(), np.cumsum(before.value_lengths().to_numpy())[:-1])
         cross = table.column("ti")[0].as_py() != table.column("tj")[0].as_py()
-        return size, possible(size, brief, lists, table.column("leaf")[0].as_py(), np.array(table.column("t").to_pylist()), cross, similarity)
+        return size, possible(size, brief, before, np.array(table.column("t").to_pylist()), cross, similarity)
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, keys):
@@ -277,7 +308,7 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY
                 _, ok = bucket(table)
                 yield from table.select(["leaf", "ti", "tj", "t", "id"]).filter(pa.array(ok.any(1))).combine_chunks().to_batches()
 
-    tiles = tiled(leaves.join(facts, "id"), "leaf", tile, "id").select("leaf", "ti", "tj", "t", "id", "n", "sketch", "leaves")
+    tiles = tiled(in_leaves, "leaf", tile, "id").select("leaf", "ti", "tj", "t", "id", "n", "sketch", "before")
     flagged = kept(by_group(tiles, keys).mapInArrow(candidates, "leaf bigint, ti bigint, tj bigint, t bigint, id bigint"))
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,7 +325,8 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY
             yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(links[hit].astype(np.int64) @ weight), pa.array(ids[label[hit]])], names=["id", "links", "near"])
 
     # Only what has a possible partner is compared as a whole set.
-    full = flagged.join(facts, "id").join(sets_for(flagged).select("id", "set"), "id").select("leaf", "ti", "tj", "t", "id", "w", "n", "sketch", "leaves", "set")
+    again = flagged.join(in_leaves.drop("size"), ["id", "leaf"]).join(classes.select("id", "w"), "id")
+    full = again.join(sets_for(flagged).select("id", "set"), "id").select("leaf", "ti", "tj", "t", "id", "w", "n", "sketch", "before", "set")
     linked = kept(by_group(full, keys).mapInArrow(verified, "id bigint, links bigint, near bigint"))
     counts = linked.groupBy("id").agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("id").alias("a"), F.col("near").alias("b"))).withColumnRenamed("node", "id")
@@ -304,6 +336,7 @@ def jaccard_join(docs: DataFrame, k: int = WORDS, similarity: float = SIMILARITY
     firsts = named.groupBy("root").agg(first).select("root", F.col("o.d").alias("component_id"), F.col("o.t").alias("keeper"))
     final = cut(named.join(firsts, "root").select("fp", "class_id", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id", "keeper"))
     drop(classes, *scratch)
+    # members and final are read by the caller's plan, and stay until the session ends.
     out = members.join(final.withColumnRenamed("fp", "f"), F.col("fp") == F.col("f"), "left")
     class_id, component = F.when(F.col("f").isNull(), F.col("doc_id")).otherwise(F.col("class_id")), F.when(F.col("f").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "th", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), (F.col("doc_id").eqNullSafe(component) & F.coalesce(F.col("th") == F.col("keeper"), F.lit(True))).alias("kept"))
