@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrays import mix, prefix_hash, range_hash
+from larkspur.llm.columns import boxed, mapped, quoted
 
 #: Entries of a worker's memo of pre-tokens. A full one is set aside, and what is met again comes over from it: this costs time and changes nothing else.
 MEMO = 250_000
@@ -47,6 +48,8 @@ def flat(items: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 def hashes(items: list[bytes]) -> np.ndarray:
     data, bounds = flat(items)
     return range_hash(prefix_hash(data), bounds[:-1], bounds[1:])
+#: Characters of a pre-token past which it isn't remembered.
+LONGEST = 64
 
 
 class PerfectHash:
@@ -163,7 +166,12 @@ class Codec:
         if len(self.memo) + len(distinct) > self.limit:
             self.memo, self.aside = {}, self.memo
         self.resolve(distinct)
-        return [" ".join(map(self.memo.__getitem__, t)) for t in tokens]
+        out = [" ".join(map(self.memo.__getitem__, t)) for t in tokens]
+        for t in distinct:
+            # Long ones hardly come again, and would fill the memory that a number of entries is to bound.
+            if len(t) > LONGEST:
+                del self.memo[t]
+        return out
 
     def encode_text(self, text: str) -> str:
         return self.encode_texts([text])[0]
@@ -186,22 +194,18 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bo
     """Adds n_tokens, ids_sha256, decoded_sha256 (and the ids themselves, with ids=True) to each row.
 
     Null text is empty: no tokens, the digests of nothing. Rows are independent, so repeated rows and ids, and null in any
-    other column, change nothing; columns of the input that bear one of the new names are replaced.
+    other column, change nothing; columns of the input that bear one of the new names, in any case, are replaced, and others stay whatever their names.
     """
     vocabulary = read_ranks(path)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, pattern, PerfectHash(vocabulary)))
     added = {"n_tokens": "bigint", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if ids else {})
-    keep = [c for c in docs.columns if c not in added]
-    # The text goes along once more under a name of its own, so that a dropped or renamed column can't hide it.
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text")
-    schema += (", " if keep else "") + ", ".join(f"{k} {v}" for k, v in added.items())
+    source = boxed(docs, added, F.col(quoted(text)).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         words, split, index = shared.value
         codec = Codec(words, split, index=index)
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.schema.get_field_index("text")
             sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False))
             i = 0
             while i < batch.num_rows:
@@ -216,10 +220,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: bo
                     plain.append(hashlib.sha256(codec.decode(numbers) if len(numbers) else b"").hexdigest())
                     if ids:
                         lists.append(numbers.astype(np.int32))
-                columns = [c for k, c in enumerate(part.columns) if k != at]
-                columns += [pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())]
+                columns = [pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(plain, pa.string())]
                 if ids:
                     columns.append(pa.array(lists, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *added])
+                yield part, columns
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, docs, added, run)

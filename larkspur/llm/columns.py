@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: The struct's name; what an operator adds beside it bears other names.
 ROW = "row"
@@ -31,3 +33,15 @@ def unboxed(df: DataFrame, docs: DataFrame, added: dict[str, Column] | Iterable[
     """The caller's columns again, with the added ones after them."""
     new = added if isinstance(added, dict) else {a: F.col(a) for a in added}
     return df.select(*(F.col(ROW).getField(c).alias(c) for c in carried(docs, new)), *(v.alias(k) for k, v in new.items()))
+
+
+def mapped(boxes: DataFrame, docs: DataFrame, added: dict[str, str], run: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]]) -> DataFrame:
+    """The caller's columns and new ones of the given types, which run() gives for parts of the batches of boxes (from boxed(), with columns more)."""
+    schema = StructType([boxes.schema[ROW], *StructType.fromDDL(", ".join(f"{k} {v}" for k, v in added.items())).fields])
+    names = [ROW, *added]
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, columns in run(batches):
+            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(ROW)), *columns], names=names)
+
+    return unboxed(boxes.mapInArrow(whole, schema), docs, list(added))

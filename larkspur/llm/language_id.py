@@ -19,32 +19,45 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrays import chunks, utf8
+from larkspur.llm.columns import boxed, mapped, quoted
 from larkspur.llm.store import cut, drop
 
 ORDERS, BITS = (2, 3, 4), 12
 DIMENSION = 1 << BITS
 PER_LANGUAGE, SAMPLE_ROWS = 1000, 12_000
 AMBIGUOUS = 0.2
+#: Bytes that are counted at once.
+PIECE = 1 << 20
 LOWER = np.arange(256, dtype=np.uint32)
 LOWER[65:91] += 32
 
 
-def features(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Rows of root n-gram frequencies (unit length for each order), hashed to DIMENSION columns; n-grams never cross rows."""
-    rows = len(bounds) - 1
-    out = np.zeros((rows, DIMENSION), np.float32)
+def features(data: np.ndarray, bounds: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Rows of root n-gram frequencies (unit length for each order), hashed to DIMENSION columns; n-grams never cross rows.
+
+    Bytes are taken in pieces, which share max(ORDERS) - 1 bytes with the next: an n-gram counts where it begins.
+    """
+    rows, reach = len(bounds) - 1, max(ORDERS) - 1
     length = np.diff(bounds)
-    row = np.repeat(np.arange(rows), length)
-    to_end = bounds[1:][row] - np.arange(len(data))
-    low = LOWER[data]
-    code = np.zeros(len(data), np.uint32)
-    for n in range(1, max(ORDERS) + 1):
-        code[: len(data) - n + 1] = code[: len(data) - n + 1] * np.uint32(257) + low[n - 1 :] + np.uint32(1) if len(data) >= n else 0
-        if n in ORDERS:
-            ok = to_end >= n
-            bucket = ((code[ok] + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
-            counts = np.bincount(row[ok] * DIMENSION + bucket, minlength=rows * DIMENSION).reshape(rows, DIMENSION)
-            out += np.sqrt(counts / np.maximum(length - n + 1, 1)[:, None]).astype(np.float32)
+    counts = {n: np.zeros((rows, DIMENSION), np.int64) for n in ORDERS}
+    for a in range(0, len(data), piece):
+        b = min(len(data), a + piece)
+        low = LOWER[data[a : b + reach]]
+        row = np.searchsorted(bounds, np.arange(a, b), "right") - 1
+        to_end = bounds[1:][row] - np.arange(a, b)
+        code = np.zeros(b - a, np.uint32)
+        for n in range(1, reach + 2):
+            m = min(b - a, len(low) - n + 1)
+            if m <= 0:
+                break
+            code[:m] = code[:m] * np.uint32(257) + low[n - 1 : n - 1 + m] + np.uint32(1)
+            if n in ORDERS:
+                ok = to_end >= n
+                bucket = ((code[ok] + np.uint32(n)) * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+                counts[n] += np.bincount(row[ok] * DIMENSION + bucket, minlength=rows * DIMENSION).reshape(rows, DIMENSION)
+    out = np.zeros((rows, DIMENSION), np.float32)
+    for n in ORDERS:
+        out += np.sqrt(counts[n] / np.maximum(length - n + 1, 1)[:, None]).astype(np.float32)
     return out / np.float32(len(ORDERS))
 
 
@@ -138,31 +151,28 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
     """Adds lang_pred, score (0 to 1) and ambiguous to each row, from its whole text.
 
     Text that is null or has no letter is `und` with score 0, not ambiguous; so is every text if there was nothing to learn from. Rows are
-    independent, so repeated rows and ids, and null in any other column, change nothing; columns that bear one of the new names are replaced.
+    independent, so repeated rows and ids, and null in any other column, change nothing; columns that bear one of the new names, in any case, are replaced, and
+    others stay whatever their names. A very long text is counted in pieces of PIECE bytes.
     """
-    added = ["lang_pred", "score", "ambiguous"]
-    keep = [c for c in docs.columns if c not in added]
+    added = {"lang_pred": "string", "score": "double", "ambiguous": "boolean"}
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"), F.coalesce(F.col(f"`{text}`").rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if not f.name.startswith("__")), "lang_pred string, score double, ambiguous boolean"])
+    source = boxed(docs, added, F.col(quoted(text)).alias("text"), F.coalesce(F.col(quoted(text)).rlike(r"\p{L}"), F.lit(False)).alias("letter"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         own = shared.value
-        for part, data, bounds in chunks(batches, "__text", 1 << 19):
+        for part, data, bounds in chunks(batches, "text", 1 << 19):
             for i in range(0, part.num_rows, 1024):
                 rows = part.slice(i, 1024)
                 at = bounds[i : i + rows.num_rows + 1]
-                known = rows.column(rows.schema.get_field_index("__letter")).to_numpy(zero_copy_only=False).astype(bool)
+                known = rows.column(rows.schema.get_field_index("letter")).to_numpy(zero_copy_only=False).astype(bool)
                 if own is None:
                     names, score, near = ["und"] * rows.num_rows, np.zeros(rows.num_rows), np.zeros(rows.num_rows, bool)
                 else:
                     best, score, near = own.predict(features(data[at[0] : at[-1]], at - at[0]))
                     names = [own.languages[k] if ok else "und" for k, ok in zip(best.tolist(), known.tolist(), strict=True)]
-                columns = [c for k, c in enumerate(rows.columns) if not rows.schema.names[k].startswith("__")]
-                columns += [pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0), pa.float64()), pa.array(near & known, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *added])
+                yield rows, [pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0), pa.float64()), pa.array(near & known, pa.bool_())]
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, docs, added, run)
 
 
 __all__ = ["Model", "codewords", "features", "fit", "predict", "train", "utf8"]

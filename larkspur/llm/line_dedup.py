@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.columns import boxed, carried
 from larkspur.llm.quality_rules import let, split_words
 from larkspur.llm.store import cut, drop
 
@@ -140,14 +141,16 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 
     Documents stay even if no line is left; null text stays null, with one empty line. Lines are split at \\n; lines without words stay.
     Order is by doc_id (null last), then digest of the text, then line number, so ties are settled alike on every run. Rows that repeat id
-    and text are one document, and each gets that document's result. An empty table gives no rows. Columns that bear the new names
-    are replaced, and columns of other names pass through.
+    and text are one document, and each gets that document's result. An empty table gives no rows. Columns that bear the new names,
+    in any case, are replaced, and columns of other names pass through.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    drop = dropped_lines(docs).select(F.col("__d").alias("dd"), F.col("__t").alias("dt"), "dropped")
-    joined = identified(docs).join(drop, F.col("__d").eqNullSafe(F.col("dd")) & (F.col("__t") == F.col("dt")), "left")
+    added = ["n_lines", "n_dropped"]
+    gone = dropped_lines(docs).select(F.col("__d").alias("dd"), F.col("__t").alias("dt"), "dropped")
+    own = boxed(docs, added, F.col("text").alias("text"), F.col("doc_id").cast("bigint").alias("d"), F.xxhash64("text").alias("t"))
+    joined = own.join(gone, F.col("d").eqNullSafe(F.col("dd")) & (F.col("t") == F.col("dt")), "left")
     lines = split_lines(F.col("text"))
     left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("dropped")), lambda i: x[i]), "\n"))
     text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(left)
-    out = joined.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in columns), F.size(lines).cast("bigint").alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).cast("bigint").alias("n_dropped"))
-    return out.withColumn("n_dropped", F.greatest("n_dropped", F.lit(0).cast("bigint")))
+    values = {"n_lines": F.size(lines).cast("bigint"), "n_dropped": F.greatest(F.coalesce(F.size("dropped"), F.lit(0)), F.lit(0)).cast("bigint")}
+    named = [text.alias(c) if c == "text" else F.col("row").getField(c).alias(c) for c in carried(docs, added)]
+    return joined.select(*named, *(v.alias(k) for k, v in values.items()))

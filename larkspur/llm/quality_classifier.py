@@ -4,8 +4,8 @@ A text's bytes are embedded and convolved with learned filters at every position
 filters' outputs (rectified) are max-pooled over blocks of BLOCK positions, and neighbouring blocks form the overlapping chunks;
 the mean, greatest and least pooled value of each filter over a text's chunks go through one hidden layer to one probability.
 
-The network is fitted on the driver on a bounded sample of labelled rows (`per_class` of each label by digest order, `train_bytes` of each
-text); scoring is one pass over whole texts without a shuffle, in pieces of bounded size.
+The network is fitted on the driver on a bounded sample of labelled rows, whole texts: about `per_class` of each label by digest order, and of those as many
+as come to `sample_bytes` in the same order; scoring is one pass over whole texts without a shuffle, in pieces of bounded size.
 """
 
 from __future__ import annotations
@@ -16,28 +16,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from larkspur.llm.arrays import chunks
+from larkspur.llm.columns import boxed, mapped, quoted
 
 WIDTH, EMBEDDING, FILTERS, HIDDEN, BLOCK = 8, 6, 24, 16, 256
-PER_CLASS, TRAIN_BYTES = 1500, 16_384
+#: Labelled rows of each label that the network is fitted on at most, and bytes of texts that come to the driver at most.
+PER_CLASS, SAMPLE_BYTES = 1500, 64 << 20
 PAD = 256
 #: Positions that are convolved at once.
 STEP = 1 << 15
+#: Bytes of one text that are laid out at once.
+PIECE = 1 << 22
 
 
 class Layout:
     """Texts of a batch, each padded to whole blocks with room for the filters' width, and its blocks and chunks."""
 
-    def __init__(self, data: np.ndarray, bounds: np.ndarray):
+    def __init__(self, data: np.ndarray, bounds: np.ndarray, blocks: int | None = None):
+        """blocks: of a piece of one text, whose bytes past them are only what the last block's filters reach into."""
         length = np.diff(bounds)
-        self.blocks = (length + WIDTH - 1 + BLOCK - 1) // BLOCK
+        self.blocks = (length + WIDTH - 1 + BLOCK - 1) // BLOCK if blocks is None else np.array([blocks])
         self.first = np.concatenate([[0], np.cumsum(self.blocks)])
         self.symbols = np.full(self.first[-1] * BLOCK + WIDTH, PAD, np.int16)
         at = np.arange(len(data)) + np.repeat(self.first[:-1] * BLOCK - bounds[:-1], length)
         self.symbols[at] = data
         self.inside = np.zeros(self.first[-1] * BLOCK, bool)
-        self.inside[at] = True
+        self.inside[at[at < len(self.inside)]] = True
         self.chunks = np.maximum(self.blocks - 1, 1)
         self.first_chunk = np.concatenate([[0], np.cumsum(self.chunks)])
         self.left = np.arange(self.first_chunk[-1]) + np.repeat(self.first[:-1] - self.first_chunk[:-1], self.chunks)
@@ -88,11 +94,30 @@ class Network:
         h = np.tanh(x @ p["hidden"] + p["hidden_bias"])
         return {"m": m, "places": places, "c": c, "x": x, "h": h, "z": h @ p["out"] + p["out_bias"][0]}
 
-    def score(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def score(self, data: np.ndarray, bounds: np.ndarray, piece: int = PIECE) -> np.ndarray:
         if len(bounds) < 2:
             return np.zeros(0)
+        if len(bounds) == 2 and len(data) > piece:
+            return self.score_long(data, piece)
         return 1 / (1 + np.exp(-self.forward(Layout(data, bounds))["z"].astype(np.float64)))
 
+    def score_long(self, data: np.ndarray, piece: int) -> np.ndarray:
+        """One text's score from pieces of whole blocks, whose layouts are bounded: a piece ends with the bytes that its last block's filters reach into, and
+        with one block more, for the chunk that spans the border; what is kept of a piece are its chunks' sums and extremes."""
+        size = max(1, piece // BLOCK)
+        blocks = (len(data) + WIDTH - 1 + BLOCK - 1) // BLOCK
+        total, top, low, chunks_ = np.zeros(FILTERS, np.float64), np.full(FILTERS, -np.inf, np.float32), np.full(FILTERS, np.inf, np.float32), 0
+        for a in range(0, blocks - 1, size):
+            b = min(blocks, a + size + 1)
+            part = data[a * BLOCK : min(len(data), b * BLOCK + WIDTH - 1)]
+            m, _ = self.pooled(Layout(part, np.array([0, len(part)]), blocks=b - a))
+            c = np.maximum(m[:-1], m[1:])
+            total += c.sum(0, dtype=np.float64)
+            top, low, chunks_ = np.maximum(top, c.max(0)), np.minimum(low, c.min(0)), chunks_ + len(c)
+        x = np.concatenate([total / chunks_, top, low])[None].astype(np.float32)
+        h = np.tanh(x @ self.parts["hidden"] + self.parts["hidden_bias"])
+        return 1 / (1 + np.exp(-(h @ self.parts["out"] + self.parts["out_bias"][0]).astype(np.float64)))
+
     def gradients(self, lay: Layout, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         p, f = self.parts, self.forward(lay, True)
         g: dict[str, np.ndarray] = {}
@@ -143,10 +168,11 @@ class Network:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, train_bytes: int = TRAIN_BYTES) -> Network | None:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", per_class: int = PER_CLASS, sample_bytes: int = SAMPLE_BYTES) -> Network | None:
     """The network fitted on rows whose label is 0 or 1; None if either is missing.
 
-    Rows with a null label, key or text take no part. A key gives a row for each of its labels; of its texts it has the least.
+    Rows with a null label, key or text take no part. A key gives a row for each of its labels; of its texts it has the shortest. The sample is at
+    most some 2 * per_class rows and sample_bytes bytes; a text that is longer than what is left of the bound of its label is passed over, never cut.
     """
     marked = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).filter("y in (0, 1) and k is not null").distinct()
     counts = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -154,11 +180,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str =
         return None
     rank = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("y") == 1, min(1.0, per_class / counts[1])).otherwise(min(1.0, per_class / counts[0]))
-    # About per_class rows of each label: that bounds what is broadcast, and with train_bytes what comes to the driver.
+    # About per_class rows of each label: that bounds what is broadcast.
     sample = marked.filter(rank < share)
-    texts = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text")).filter("text is not null")
-    got = texts.join(F.broadcast(sample), "k").groupBy("k", "y").agg(F.min(F.substring(F.encode("text", "utf-8"), 1, train_bytes)).alias("b")).collect()
-    rows = sorted((r["k"], r["y"], bytes(r["b"])) for r in got)
+    texts = docs.select(F.col(quoted(key)).alias("k"), F.col(quoted(text)).alias("text")).filter("text is not null")
+    found = texts.join(F.broadcast(sample), "k")
+    # Whole texts, but no more of them than the driver may hold: sizes first, then the rows under the bound, of either label in the same order.
+    sizes = sorted((r["o"], r["y"], r["k"], r["b"]) for r in found.groupBy("k", "y").agg(F.min(F.octet_length("text")).alias("b"), F.min(F.xxhash64("k")).alias("o")).collect())
+    use, left = [], {0: sample_bytes // 2, 1: sample_bytes // 2}
+    for _, y, k, b in sizes:
+        if b <= left[y]:
+            left[y] -= b
+            use.append(k)
+    chosen = docs.sparkSession.createDataFrame([(k,) for k in sorted(set(use))], StructType([StructField("k", sample.schema["k"].dataType)]))
+    least = F.min(F.struct(F.octet_length("text").alias("n"), F.encode("text", "utf-8").alias("b")))
+    got = found.join(F.broadcast(chosen), "k").groupBy("k", "y").agg(least.alias("t")).collect()
+    rows = sorted((r["k"], r["y"], bytes(r["t"]["b"])) for r in got)
     y = np.array([r[1] for r in rows], np.int64)
     return Network().fit([r[2] for r in rows], y) if len(set(y.tolist())) == 2 else None
 
@@ -167,18 +203,17 @@ def score(docs: DataFrame, network: Network | None, text: str = "text") -> DataF
     """Adds score (probability of label 1) and predicted (1 from 0.5) to each row, from its whole text.
 
     Null text is empty; an empty text has a score like any other. Without a network every score is 0.5. Rows are independent, so repeated rows
-    and ids, and null in any other column, change nothing; columns that bear one of the new names are replaced.
+    and ids, and null in any other column, change nothing; columns that bear one of the new names, in any case, are replaced, and others stay whatever their
+    names. A text of more than PIECE bytes goes through in pieces that share the bytes at their borders: its score is what it would be in one piece.
     """
-    keep = [c for c in docs.columns if c not in ("score", "predicted")]
+    added = {"score": "double", "predicted": "int"}
     shared = docs.sparkSession.sparkContext.broadcast(network)
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text"), "score double, predicted int"])
+    source = boxed(docs, added, F.col(quoted(text)).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         own = shared.value
-        for part, data, bounds in chunks(batches, "__text"):
+        for part, data, bounds in chunks(batches, "text"):
             p = own.score(data, bounds) if own else np.full(part.num_rows, 0.5)
-            columns = [c for k, c in enumerate(part.columns) if part.schema.names[k] != "__text"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())], names=[*keep, "score", "predicted"])
+            yield part, [pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32), pa.int32())]
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, docs, added, run)

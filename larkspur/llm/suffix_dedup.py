@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.arrays import prefix_hash, range_hash, utf8
+from larkspur.llm.columns import boxed, mapped
 from larkspur.llm.store import cut, drop
 
 LENGTH, GRAM = 400, 64
@@ -238,10 +239,14 @@ def repeated_starts(docs: DataFrame, length: int, gram: int, hot: int) -> tuple[
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                n = len(row["b"]) - length + 1
-                digests = [hashlib.blake2b(row["b"][i : i + length], digest_size=16).digest() for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array([row["cls"]] * n, pa.binary()), pa.array(range(row["p0"], row["p0"] + n), pa.int64())], names=["d", "cls", "p"])
+            for k in range(0, batch.num_rows, 256):
+                digests, cls, places = [], [], []
+                for row in batch.slice(k, 256).to_pylist():
+                    n = len(row["b"]) - length + 1
+                    digests += [hashlib.blake2b(row["b"][i : i + length], digest_size=16).digest() for i in range(n)]
+                    cls += [row["cls"]] * n
+                    places += range(row["p0"], row["p0"] + n)
+                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(cls, pa.binary()), pa.array(places, pa.int64())], names=["d", "cls", "p"])
 
     single = strings.filter("hot").mapInArrow(each, "d binary, cls binary, p bigint")
     place = F.xxhash64("cls", "p")
@@ -258,23 +263,22 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
 
     Null text is empty; texts shorter than `length` keep all. Rows with equal texts repeat each other and, from `length` bytes on, keep nothing.
     Ids aren't looked at, so null and repeated ones change nothing. An empty table gives no rows. Columns that bear one of the new
-    names are replaced. Kept bytes may be cut inside a character.
+    names, in any case, are replaced, and others stay whatever their names. Kept bytes may be cut inside a character.
     """
     added = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"} | ({"kept": "binary"} if kept else {})
-    keep = [c for c in docs.columns if c not in added]
     starts, scratch = repeated_starts(docs, length, gram, hot)
     # One row per text; written, so that the join below has plain exchanges and can split a text with very many rows.
-    lists = cut(starts.groupBy("cls").agg(F.collect_set(F.struct("s", "e")).alias("found")).select(F.col("cls").alias("__c"), F.transform("found", lambda x: x["s"]).alias("__s"), F.transform("found", lambda x: x["e"]).alias("__e")))
+    found = starts.groupBy("cls").agg(F.collect_set(F.struct("s", "e")).alias("found"))
+    lists = cut(found.select(F.col("cls").alias("c"), F.transform("found", lambda x: x["s"]).alias("s"), F.transform("found", lambda x: x["e"]).alias("e")))
     drop(*scratch)
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("__text"), identity(F.col("text")).alias("__k"))
-    source = source.join(lists, F.col("__k") == F.col("__c"), "left").drop("__k", "__c")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if not f.name.startswith("__")), *(f"{k} {v}" for k, v in added.items())])
+    source = boxed(docs, added, F.col("text").alias("text"), identity(F.col("text")).alias("k"))
+    source = source.join(lists, F.col("k") == F.col("c"), "left").select("row", "text", "s", "e")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for full in batches:
             for k in range(0, full.num_rows, 512):
                 batch = full.slice(k, 512)
-                text, first, last = (batch.column(batch.schema.get_field_index(c)) for c in ("__text", "__s", "__e"))
+                text, first, last = (batch.column(batch.schema.get_field_index(c)) for c in ("text", "s", "e"))
                 rows = []
                 for t, s, e in zip(text, first, last, strict=True):
                     raw = (t.as_py() or "").encode()
@@ -288,9 +292,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
                     else:
                         left, n = raw, 0
                     rows.append((len(raw), len(raw) - len(left), n, hashlib.sha256(left).hexdigest(), left)[: len(added)])
-                columns = [c for i, c in enumerate(batch.columns) if not batch.schema.names[i].startswith("__")]
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                columns += [pa.array([r[i] for r in rows], kinds[i]) for i in range(len(added))]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *added])
+                yield batch, [pa.array([r[i] for r in rows], kinds[i]) for i in range(len(added))]
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, docs, added, run)

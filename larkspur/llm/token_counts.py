@@ -17,7 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.bpe import MEMO, read_ranks
+from larkspur.llm.bpe import LONGEST, MEMO, read_ranks
+from larkspur.llm.columns import boxed, mapped, quoted
 
 
 def zipf_scores(vocabulary: list[bytes]) -> dict[bytes, float]:
@@ -31,6 +32,8 @@ class Counter:
     def __init__(self, scores: dict[bytes, float]):
         self.scores = scores
         self.longest = max(map(len, scores), default=0)
+        # Of a byte that is no entry: less than any entry has.
+        self.unknown = min(scores.values(), default=0.0) - 10.0
         # For each last two bytes of an entry, the lengths it can have: most suffixes need no lookup.
         lengths: dict[bytes, set[int]] = {}
         for x in scores:
@@ -41,7 +44,7 @@ class Counter:
         """The number of tokens of each distinct piece, in one walk over their trie."""
         out: dict[bytes, int] = {}
         path, before = [(0.0, 0)], b""
-        scores, none = self.scores, []
+        scores, none, unknown = self.scores, [], self.unknown
         for piece in sorted(set(pieces)):
             shared = 0
             top = min(len(before), len(piece), len(path) - 1)
@@ -54,13 +57,11 @@ class Counter:
                 for n in (1, *(self.lengths.get(pair, none) if len(pair) == 2 else none)):
                     if n > end:
                         break
-                    score = scores.get(piece[end - n : end])
+                    score = scores.get(piece[end - n : end], unknown if n == 1 else None)
                     if score is not None:
                         s, c = path[end - n]
                         if (s := s + score) > best or s == best and c + 1 < count:
                             best, count = s, c + 1
-                if best == -math.inf:
-                    raise ValueError(f"no vocabulary entry ends byte {end} of {piece[:40]!r}")
                 path.append((best, count))
             out[piece] = path[-1][1]
             before = piece
@@ -71,19 +72,18 @@ def token_counts(docs: DataFrame, path: str, pattern: str, text: str = "text", m
     """Adds n_pretokens and n_tokens to each row, over the whole text.
 
     Null or empty text has none of either. Rows are independent, so repeated rows and ids, and null in any other column, change
-    nothing; columns of the input that bear one of the new names are replaced.
+    nothing; columns of the input that bear one of the new names, in any case, are replaced, and others stay whatever their names. A byte that the
+    vocabulary lacks counts as a token, of less than any entry's score.
     """
     shared = docs.sparkSession.sparkContext.broadcast((zipf_scores(read_ranks(path)), pattern))
     added = {"n_pretokens": "bigint", "n_tokens": "bigint"}
-    keep = [c for c in docs.columns if c not in added]
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias("__text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "__text"), *(f"{k} {v}" for k, v in added.items())])
+    source = boxed(docs, added, F.col(quoted(text)).alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
         scores, split = shared.value
         counter, find, known = Counter(scores), regex.compile(split).findall, {}
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
+            at = batch.schema.get_field_index("text")
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 tokens = [find(x.as_py() or "") for x in part.column(at)]
@@ -92,8 +92,9 @@ def token_counts(docs: DataFrame, path: str, pattern: str, text: str = "text", m
                     known.clear()
                 fresh = {x.encode(): x for x in fresh if x not in known}
                 known.update((fresh[k], n) for k, n in counter.counts(fresh).items())
-                columns = [c for k, c in enumerate(part.columns) if k != at]
-                columns += [pa.array([len(x) for x in tokens], pa.int64()), pa.array([sum(map(known.__getitem__, x)) for x in tokens], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*keep, *added])
+                yield part, [pa.array([len(x) for x in tokens], pa.int64()), pa.array([sum(map(known.__getitem__, x)) for x in tokens], pa.int64())]
+                for x in {x for t in tokens for x in t if len(x) > LONGEST}:
+                    # Long ones hardly come again, and would fill the memory that a number of entries is to bound.
+                    known.pop(x, None)
 
-    return source.mapInArrow(run, schema)
+    return mapped(source, docs, added, run)

@@ -67,9 +67,9 @@ def test_bpe_against_library(encoding):
 
 
 def test_bpe_rows(docs, rows, encoding):
-    extra = docs.withColumn("n_tokens", F.lit("old")).withColumn("more", F.array(F.lit(1)))
+    extra = docs.withColumn("n_tokens", F.lit("old")).withColumn("more", F.array(F.lit(1))).withColumn("__text", F.lit(1)).withColumn("row", F.lit("x"))
     got = bpe.encode(extra, RANKS, public_tokenizers.PATTERN, ids=True)
-    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "more", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+    assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "more", "__text", "row", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
     found = Counter((r.doc_id, r.text, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got.collect())
     expected = Counter()
     for i, t, *_ in rows:
@@ -204,6 +204,24 @@ def test_rules_repeats_of_long_texts(spark):
         assert got == {i: base_counts(t)[4] for i, t, *_ in rows}
 
 
+CLASHES = ["__text", "__x", "row", "rows", "text2", "letter", "dropped", "__t", "__d", "__h", "__taken", "d", "t", "k", "s", "e", "Score", "a `b` c"]
+
+
+def test_clashing_names(spark, docs, rows):
+    """Columns of a caller's pass through every operator, whatever their names; those that bear a new name in another case are replaced."""
+    from larkspur.llm import line_dedup, suffix_dedup
+
+    own = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in CLASHES})
+    got = {
+        "bpe": bpe.encode(own, RANKS, public_tokenizers.PATTERN), "counts": token_counts.token_counts(own, RANKS, public_tokenizers.PATTERN), "score": quality_classifier.score(own, quality_classifier.Network()),
+        "lang": language_id.predict(own, None), "suffix": suffix_dedup.suffix_dedup(own), "lines": line_dedup.line_dedup(own), "rules": quality_rules.quality_rules(own, refs=[]),
+    }
+    for name, df in got.items():
+        left = [c for c in CLASHES if c != "Score" or name not in ("score", "lang")]
+        assert set(left) <= set(df.columns) and len({c.lower() for c in df.columns}) == len(df.columns), name
+        assert Counter((r.doc_id, *(r[c] for c in left)) for r in df.collect()) == Counter((i, *(None if i is None else f"{c}{i}" for c in left)) for i, *_ in rows), name
+
+
 def languages(rng, n):
     letters = {"aa": "abcde", "bb": "defgh", "cc": "hijkl", "dd": "lmnop", "ee": "pqrst"}
     return [(i, " ".join("".join(rng.choice(letters[k]) for _ in range(rng.randrange(2, 7))) for _ in range(40)), k, "s", 0) for i in range(n) for k in [list(letters)[i % 5]]]
@@ -244,6 +262,85 @@ def test_language_id_learns_languages_of_copies(spark):
     assert language_id.fit(frame(spark, rows), sample_rows=3).languages == model.languages
 
 
+def plain_score(net, raw):
+    """The network's probability, position by position."""
+    p, block, width = net.parts, quality_classifier.BLOCK, quality_classifier.WIDTH
+    blocks = max(1, -(-(len(raw) + width - 1) // block))
+    pooled = np.full((blocks, quality_classifier.FILTERS), -np.inf)
+    for i in range(len(raw)):
+        symbols = [raw[i + j] if i + j < len(raw) else quality_classifier.PAD for j in range(width)]
+        value = np.concatenate([p["embed"][s] for s in symbols]).astype(np.float64) @ p["filters"].astype(np.float64)
+        pooled[i // block] = np.maximum(pooled[i // block], value)
+    m = np.maximum(pooled + p["filter_bias"], 0)
+    c = np.array([np.maximum(m[k], m[min(k + 1, blocks - 1)]) for k in range(max(1, blocks - 1))])
+    h = np.tanh(np.concatenate([c.mean(0), c.max(0), c.min(0)]) @ p["hidden"] + p["hidden_bias"])
+    return 1 / (1 + np.exp(-(h @ p["out"] + p["out_bias"][0])))
+
+
+def test_network_against_plain_loop():
+    """Scores of texts about the borders of blocks and pieces, in a batch, alone, and in pieces."""
+    rng, net = np.random.default_rng(3), quality_classifier.Network()
+    net.parts["filter_bias"] += 0.1
+    block, width = quality_classifier.BLOCK, quality_classifier.WIDTH
+    sizes = [0, 1, 7, 8, block - width, block - width + 1, block - width + 2, block, 2 * block - width + 1, 2 * block, 5 * block + 3, 1500]
+    texts = [rng.integers(32, 127, n).astype(np.uint8) for n in sizes]
+    expected = [plain_score(net, t.tolist()) for t in texts]
+    together = net.score(np.concatenate(texts), np.concatenate([[0], np.cumsum(sizes)]))
+    assert together == pytest.approx(expected, abs=1e-5)
+    for t, x in zip(texts, expected, strict=True):
+        for piece in (block, 2 * block, 700):
+            assert net.score(t, np.array([0, len(t)]), piece)[0] == pytest.approx(x, abs=1e-5)
+
+
+def plain_features(raw):
+    out = np.zeros(language_id.DIMENSION)
+    for n in language_id.ORDERS:
+        counts = Counter()
+        for i in range(len(raw) - n + 1):
+            code = 0
+            for byte in raw[i : i + n]:
+                code = (code * 257 + (byte + 32 if 65 <= byte <= 90 else byte) + 1) % 2**32
+            counts[((code + n) * 2654435761) % 2**32 >> (32 - language_id.BITS)] += 1
+        for k, v in counts.items():
+            out[k] += (v / (len(raw) - n + 1)) ** 0.5 / len(language_id.ORDERS)
+    return out
+
+
+def test_language_features_against_plain_loop():
+    """Features in a batch and in pieces, and decoding by summed losses."""
+    texts = [b"", b"a", b"aB", b"Abc", "Über das Öl".encode(), b"the quick brown fox " * 9]
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    expected = np.array([plain_features(t) for t in texts])
+    for piece in (1 << 20, 1, 3, 50):
+        assert np.abs(language_id.features(data, bounds, piece) - expected).max() < 1e-6
+    model = language_id.Model(["x", "y", "z"], language_id.codewords(3), np.zeros((1, 1)), np.zeros(1))
+    margins = np.random.default_rng(2).normal(size=(20, model.code.shape[1]))
+    best, p, _ = model.decode(margins)
+    for row, b, q in zip(margins, best, p, strict=True):
+        losses = [sum(np.log1p(np.exp(-m * c)) for m, c in zip(row, code, strict=True)) for code in model.code]
+        assert b == int(np.argmin(losses)) and q == pytest.approx(np.exp(-losses[b]) / np.exp([-x for x in losses]).sum())
+
+
+def test_very_long_text(spark):
+    """A text of over 10 MB goes through the classifiers in pieces, and through the shingles."""
+    from larkspur.llm import jaccard_join
+
+    rng = np.random.default_rng(9)
+    raw = rng.choice(np.frombuffer(b"abcdefgh  ", np.uint8), 11_000_000)
+    bounds = np.array([0, len(raw)])
+    net = quality_classifier.Network()
+    assert net.score(raw, bounds)[0] == pytest.approx(net.score(raw, bounds, 1 << 30)[0], abs=1e-5)
+    assert np.abs(language_id.features(raw, bounds) - language_id.features(raw, bounds, 1 << 30)).max() < 1e-6
+    assert (arrays.word_hashes(raw, bounds, 1 << 20)[0] == arrays.word_hashes(raw, bounds, 1 << 30)[0]).all()
+    assert len(jaccard_join.token_sets(raw, bounds, 5)[0]) > 1000
+
+
+def test_byte_that_the_vocabulary_lacks():
+    counter = token_counts.Counter(token_counts.zipf_scores([b"a", b"ab", b"cd"]))
+    assert counter.counts([b"ab", b"b", b"acd", b"ad", b"xyz"]) == {b"ab": 1, b"b": 1, b"acd": 2, b"ad": 2, b"xyz": 3}
+
+
 def test_network_gradients():
     rng = np.random.default_rng(1)
     texts = [rng.integers(97, 123, n).astype(np.uint8).tobytes() for n in (5, 300, 900, 0, 2)]
