@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from larkspur.llm import quality_rules
+from larkspur.llm import mixing, quality_rules
 
 WORDS = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -71,10 +71,27 @@ WITH d AS (
 ), goal AS (
   SELECT c.source, c.z, CASE WHEN full_ THEN CAST(3 * z AS DOUBLE) ELSE CAST(l.rest * w AS DOUBLE) / CAST(l.open AS DOUBLE) END AS target,
     CAST(CASE WHEN full_ THEN 3 * z ELSE (l.rest * w) // l.open END AS BIGINT) AS take FROM capped c, level l
+), slots AS (
+  SELECT *, (z + {mixing.BLOCK_WORDS} - 1) // {mixing.BLOCK_WORDS} AS blocks, CASE WHEN z = 0 THEN 0 ELSE take // z * ((z + {mixing.BLOCK_WORDS} - 1) // {mixing.BLOCK_WORDS}) + (take % z + {mixing.BLOCK_WORDS} - 1) // {mixing.BLOCK_WORDS} END AS due, CASE WHEN z = 0 THEN 0 ELSE take % z % {mixing.BLOCK_WORDS} END AS part FROM goal
+), shares AS (
+  SELECT *, sum(due) OVER () AS total, CAST(sum(due) OVER (ORDER BY encode(source) NULLS LAST ROWS UNBOUNDED PRECEDING) AS HUGEINT) * 18446744073709551616 // greatest(1, CAST(sum(due) OVER () AS HUGEINT)) AS top,
+    CAST(coalesce(sum(due) OVER (ORDER BY encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS HUGEINT) * 18446744073709551616 // greatest(1, CAST(sum(due) OVER () AS HUGEINT)) AS low FROM slots
+), points AS (
+  SELECT i, CAST(i AS HUGEINT) * {mixing.GOLDEN} % 18446744073709551616 AS x FROM (SELECT unnest(range(0, CAST((SELECT max(total) FROM shares) AS BIGINT))) AS i)
+), ranked AS (
+  SELECT s.source, blocks, due, part, i, row_number() OVER (PARTITION BY s.source ORDER BY i) - 1 AS r FROM points JOIN shares s ON x >= low AND x < top
+), picked AS (
+  SELECT source, r % blocks AS b, i, CASE WHEN r = due - 1 AND part > 0 THEN part ELSE {mixing.BLOCK_WORDS} END AS words FROM ranked WHERE r < {mixing.CAP} * blocks
 ), placed AS (
-  SELECT d.*, g.z, g.target, g.take, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS lo FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
+  SELECT d.*, g.z, g.target, CAST(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS lo FROM d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source
+), hits AS (
+  SELECT p.source, p.h, p.doc_id, p.lo, k.i, least(p.lo + size, k.b * {mixing.BLOCK_WORDS} + words) - greatest(p.lo, k.b * {mixing.BLOCK_WORDS}) AS n
+  FROM (SELECT *, unnest(range(lo // {mixing.BLOCK_WORDS}, (lo + size - 1) // {mixing.BLOCK_WORDS} + 1)) AS b FROM placed WHERE size > 0) p JOIN picked k ON p.source IS NOT DISTINCT FROM k.source AND p.b = k.b
+), sums AS (
+  SELECT source, h, doc_id, lo, CAST(sum(n) AS BIGINT) AS taken, min(i) AS first_slot, count(*) AS n_slots FROM hits WHERE n > 0 GROUP BY ALL
 )
-SELECT doc_id, CAST(size AS BIGINT) AS size, z AS source_size, target, CAST(CASE WHEN z = 0 THEN 0 ELSE (take // z) * size + greatest(0, least(size, take % z - lo)) END AS BIGINT) AS taken FROM placed"""
+SELECT p.doc_id, CAST(size AS BIGINT) AS size, z AS source_size, target, coalesce(taken, 0) AS taken, first_slot, coalesce(n_slots, 0) AS n_slots
+FROM placed p LEFT JOIN sums s ON p.source IS NOT DISTINCT FROM s.source AND p.doc_id = s.doc_id AND p.h = s.h AND p.lo = s.lo AND size > 0"""
 
 QUALITY_RULES = rf"""
 WITH d AS (

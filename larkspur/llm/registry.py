@@ -38,7 +38,7 @@ def op10_token_counts(spark, sf):
 
 @query
 def op7_mixing(spark, sf):
-    return mixing.mix(read(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(read(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
 
 
 @query

@@ -267,36 +267,78 @@ def test_targets():
     assert mixing.targets([0, 0], [1, 2]) == [0, 0] and mixing.targets([], []) == []
 
 
-@pytest.mark.parametrize("block", [4, 256])
-def test_mixing(docs, rows, block):
-    sizes = defaultdict(int)
-    for _, t, _, s, _ in rows:
-        sizes[s] += len(words(t))
-    names = sorted((s for s in sizes if s is not None), key=str.encode) + [None]
-    goal = dict(zip(names, map(float, mixing.targets([sizes[s] for s in names], [1, 2, 3, 1])), strict=True))
-    got = mixing.mix(docs, block=block).collect()
-    assert Counter((r.doc_id, r.size, r.source_size, r.target) for r in got) == Counter((i, len(words(t)), sizes[s], goal[s]) for i, t, _, s, _ in rows)
+def brute_mix(rows, block, step=mixing.GOLDEN):
+    """Each row's (id, size, taken, first slot, slots), by walking the schedule slot by slot; and the sources' names, sizes and targets."""
+    groups = defaultdict(list)
+    for i, t, _, s, _ in rows:
+        groups[s].append((hashlib.md5("|".join([str(mixing.SEED), *([] if i is None else [str(i)]), *([] if t is None else [t])]).encode()).hexdigest(), i, len(words(t))))
+    names = sorted((s for s in groups if s is not None), key=str.encode) + [None] * (None in groups)
+    sizes = [sum(x[2] for x in groups[s]) for s in names]
+    goal = mixing.targets(sizes, [k % 3 + 1 for k in range(len(names))])
+    blocks, due, part = [], [], []
+    for z, g in zip(sizes, goal, strict=True):
+        take, n = int(g), -(-z // block)
+        blocks.append(n)
+        due.append(take // z * n + -(-(take % z) // block) if z else 0)
+        part.append(take % z % block if z else 0)
+    total, tops = sum(due), []
+    for k in range(len(names)):
+        tops.append((sum(due[: k + 1]) << 64) // max(1, total))
+    order, seen = [], Counter()
+    for i in range(total):
+        k = next(k for k, top in enumerate(tops) if i * step % 2**64 < top)
+        order.append(k)
+        r, seen[k] = seen[k], seen[k] + 1
+        if r < 3 * blocks[k]:
+            groups.setdefault((k, "slots"), []).append((r % blocks[k], part[k] if r == due[k] - 1 and part[k] else block, i))
+    out = Counter()
+    for k, s in enumerate(names):
+        at = 0
+        for h, i, n in sorted(groups[s], key=lambda x: (x[0], x[1] if x[1] is not None else -1)):
+            hits = [(min(at + n, b * block + w) - max(at, b * block), place) for b, w, place in groups.get((k, "slots"), [])]
+            hits = [x for x in hits if x[0] > 0 and n]
+            out[(i, n, sum(x[0] for x in hits), min((x[1] for x in hits), default=None), len(hits))] += 1
+            at += n
+    return out, names, sizes, goal, order, due
+
+
+@pytest.mark.parametrize(("block", "step"), [(4, mixing.GOLDEN), (64, mixing.GOLDEN), (8, 0x5851F42D4C957F2D)])
+def test_mixing(docs, rows, block, step):
+    expected, names, sizes, goal, _, _ = brute_mix(rows, block, step)
+    got = mixing.mix(docs, block=block, step=step).collect()
+    assert Counter((r.doc_id, r.size, r.taken, r.first_slot, r.n_slots) for r in got) == expected
+    of = dict(zip(names, zip(sizes, map(float, goal), strict=True), strict=True))
+    assert Counter((r.doc_id, r.source_size, r.target) for r in got) == Counter((i, *of[s]) for i, _, _, s, _ in rows)
+    assert all(0 <= r.taken <= 3 * r.size for r in got)
+    again = mixing.mix(docs.repartition(7), block=block, step=step).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+
+
+def test_mixing_follows_the_schedule(docs, rows):
+    """Another sequence takes other words; the golden ratio's are near each target, and near the shares in every stretch."""
+    mine, names, sizes, goal, order, due = brute_mix(rows, 8)
+    other = brute_mix(rows, 8, 0x5851F42D4C957F2D)[0]
+    assert mine != other
+    assert Counter((r.doc_id, r.size, r.taken, r.first_slot, r.n_slots) for r in mixing.mix(docs, block=8).collect()) == mine
     taken = defaultdict(int)
-    for r in got:
-        assert 0 <= r.taken <= 3 * r.size
+    for r in mixing.mix(docs, block=8).collect():
         taken[r.source_size, r.target] += r.taken
-    assert all(taken[sizes[s], goal[s]] == int(goal[s]) for s in names)
-    again = mixing.mix(docs.repartition(7), block=block).collect()
-    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    assert all(abs(taken[z, float(g)] - g) <= 4 * 8 for z, g in zip(sizes, goal, strict=True))
+    total = sum(due)
+    for width in (50, 200):
+        for a in range(0, total - width, 37):
+            counts = Counter(order[a : a + width])
+            assert all(abs(counts[k] - width * due[k] / total) <= 4 for k in range(len(names)))
 
 
-def test_mixing_order(docs, rows):
-    """Takes follow from the shuffled order alone: whole epochs, and the first words of one more."""
-    got = mixing.mix(docs, block=8).collect()
-    by_source = defaultdict(list)
-    for r in got:
-        by_source[r.source_size, r.target].append(r)
-    for (size, target), group in by_source.items():
-        epochs, rest = divmod(int(target), size)
-        at = 0
-        for r in sorted(group, key=lambda r: (r.row_digest, r.doc_id)):
-            assert r.taken == epochs * r.size + max(0, min(r.size, rest - at))
-            at += r.size
+def test_running(spark):
+    rng = random.Random(3)
+    data = [(s, i, rng.randrange(9)) for s in range(3) for i in range(0, 5000, 1 + s)]
+    got = {(r.s, r.i): r.off for r in mixing.running(spark.createDataFrame(data, "s bigint, i bigint, n bigint"), "i").collect()}
+    before = Counter()
+    for s, i, n in data:
+        assert got[s, i] == before[s]
+        before[s] += n
 
 
 def test_mixing_empty(docs):
