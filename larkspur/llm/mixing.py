@@ -24,7 +24,7 @@ from larkspur.llm.columns import quoted
 from larkspur.llm.store import cut
 
 #: Words of a block; documents of a bucket, on average; slots of a chunk; chunks or buckets that are summed up at once; chunks that a task draws.
-BLOCK_WORDS, BUCKET_ROWS, CHUNK_SLOTS, TOGETHER, TASK_CHUNKS = 128, 4096, 16384, 1024, 64
+BLOCK_WORDS, BUCKET_ROWS, CHUNK_SLOTS, TOGETHER, TASK_CHUNKS = 64, 4096, 16384, 1024, 64
 CAP = 3
 #: Bits of the golden ratio's fraction, as a step of 64-bit points.
 GOLDEN = 0x9E3779B97F4A7C15
