@@ -87,4 +87,4 @@ def op5_jaccard_join(spark, sf):
 
 @query
 def op9_suffix_dedup(spark, sf):
-    return suffix_dedup.suffix_dedup(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup.suffix_dedup(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept_chars", "repeats")

@@ -259,13 +259,14 @@ def repeated_starts(docs: DataFrame, length: int, gram: int, hot: int) -> tuple[
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, kept: bool = False) -> DataFrame:
-    """Adds n_bytes, n_removed, n_spans and kept_sha256 (and the kept bytes, with kept=True) to each row.
+    """Adds n_bytes, n_removed, n_spans, kept_sha256, n_kept_chars (characters that begin in what is left), repeats (whether anything
+    was removed) and, with kept=True, the kept bytes to each row.
 
     Null text is empty; texts shorter than `length` keep all. Rows with equal texts repeat each other and, from `length` bytes on, keep nothing.
     Ids aren't looked at, so null and repeated ones change nothing. An empty table gives no rows. Columns that bear one of the new
     names, in any case, are replaced, and others stay whatever their names. Kept bytes may be cut inside a character.
     """
-    added = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string"} | ({"kept": "binary"} if kept else {})
+    added = {"n_bytes": "bigint", "n_removed": "bigint", "n_spans": "bigint", "kept_sha256": "string", "n_kept_chars": "bigint", "repeats": "boolean"} | ({"kept": "binary"} if kept else {})
     starts, scratch = repeated_starts(docs, length, gram, hot)
     # One row per text; written, so that the join below has plain exchanges and can split a text with very many rows.
     found = starts.groupBy("cls").agg(F.collect_set(F.struct("s", "e")).alias("found"))
@@ -291,8 +292,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: i
                         n = len(runs(gone)[0])
                     else:
                         left, n = raw, 0
-                    rows.append((len(raw), len(raw) - len(left), n, hashlib.sha256(left).hexdigest(), left)[: len(added)])
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                    rows.append((len(raw), len(raw) - len(left), n, hashlib.sha256(left).hexdigest(), int(((np.frombuffer(left, np.uint8) & 0xC0) != 0x80).sum()), len(left) < len(raw), left)[: len(added)])
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.binary()]
                 yield batch, [pa.array([r[i] for r in rows], kinds[i]) for i in range(len(added))]
 
     return mapped(source, docs, added, run)

@@ -219,6 +219,7 @@ def test_suffix_dedup(spark, rows, length, gram, hot):
     df = frame(spark, more).withColumn("n_bytes", F.lit("x"))
     got = suffix_dedup.suffix_dedup(df, length=length, gram=gram, hot=hot, kept=True)
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, bytes(r.kept)) for r in got.collect()) == brute_suffix(more, length)
+    assert all(r.repeats == (r.n_removed > 0) and (r.repeats or r.n_kept_chars == len(r.text or "")) for r in got.collect())
 
 
 def test_suffix_segments(spark, monkeypatch):

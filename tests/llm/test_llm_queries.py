@@ -16,7 +16,7 @@ COLUMNS = {
     "op1_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
     "op2_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
     "op8_language_id": ["doc_id", "held_out", "lang_pred", "score", "ambiguous"],
-    "op9_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+    "op9_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept_chars", "repeats"],
     "op10_token_counts": ["doc_id", "n_pretokens", "n_tokens"],
 }
 
