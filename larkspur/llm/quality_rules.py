@@ -271,7 +271,9 @@ def quality_rules(
     else:
         vocabulary = sorted({w for r in refs for w in r["words"]})
         df, own = df.withColumn("refs", literal_references(refs)), F.filter("w", lambda x: x.isin(vocabulary))
-    df = df.select("row", "t", "lang", "w", "x", "refs", *(v.alias(k) for k, v in base().items()))
+    # Bound, so that a filter on the verdict stays above the counts and doesn't work them out once more.
+    df = bound(df, "counts", F.struct(*(v.alias(k) for k, v in base().items())))
+    df = df.select("row", "t", "lang", "w", "x", "refs", "counts.*")
     df = df.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words")))
     judged = ~F.col("base_failed") & (F.col("n_words") >= min_words)
     max_word = F.when(F.col("n_words") < short_words, max_short_word_distance).otherwise(max_word_distance)
